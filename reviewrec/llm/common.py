@@ -34,9 +34,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows: texts are long, and a batch is held whole."""
+def prepare(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows, as texts are long and a batch is held whole; and the shuffle files of a step go when it ends, as its result is written."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -119,11 +120,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of some documents, and the documents' bounds in them."""
+def word_hashes(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some documents, and the documents' bounds in them; space: which bytes separate words."""
     if not len(data):
         return np.zeros(0, U64), np.zeros(len(bounds), np.int64)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]

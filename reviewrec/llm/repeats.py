@@ -9,7 +9,8 @@ once. Three scans:
    cell below two are unique, and so are all their windows; nothing repeated is lost.
 2. runs of the other anchors are grouped exactly by (anchor, content). A task settles what it can see itself and
    sends one row for each distinct run, so a run shared by a third of the corpus costs one row a task.
-3. where one anchor has several contents, its single windows are grouped exactly by a 128-bit hash, the same way.
+3. where one anchor has several contents, its windows are grouped exactly one by one, by a 128-bit hash: runs of up to
+   `LARGE` rows an anchor meet as contents in the anchor's partition; windows of larger ones are grouped like runs in 2.
 
 All passes grow in proportion to the input. The sketch has a fixed upper size (`MAX_CELLS`); beyond it more rows
 reach passes 2 and 3, which stay exact.
@@ -37,6 +38,12 @@ PIECE = 1 << 19
 #: Runs that a task holds before it settles and sends them.
 HOLD = 3_000_000
 
+#: Rows of an anchor whose windows meet in one partition.
+LARGE = 64
+#: Rows whose windows are grouped at once there.
+CHUNK = 30_000
+
+CONTENT = "key0 long, doc long, at long, n long, seen int, content binary"
 RUN = "key0 long, key1 long, doc long, at long, n long, seen int, settled boolean"
 SEGMENTS = "segment int, once binary, more binary"
 
@@ -100,11 +107,16 @@ class Runs:
 Tokens = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, Callable[[int, int], np.ndarray]]]]
 
 
+def hashed(tokens: np.ndarray) -> np.ndarray:
+    """Bytes are hashed by table; words are hashes already."""
+    return common.BYTE[tokens] if tokens.dtype == np.uint8 else tokens
+
+
 def byte_tokens(batch: pa.RecordBatch) -> Iterator:
     """(document ids, bounds, tokens between two places): UTF-8 bytes."""
     ids = batch.column(0).to_numpy(zero_copy_only=False)
     data, bounds = common.utf8(batch.column(1))
-    yield ids, bounds, lambda lo, hi: common.BYTE[data[lo:hi]]
+    yield ids, bounds, lambda lo, hi: data[lo:hi]
 
 
 def word_tokens(batch: pa.RecordBatch) -> Iterator:
@@ -120,11 +132,11 @@ def runs_of(batches: Iterator[pa.RecordBatch], tokens: Tokens, width: int, gram:
     for batch in batches:
         for ids, bounds, get in tokens(batch):
             for first, inner, lo, place in pieces(bounds, width - 1):
-                hashed = get(lo, lo + int(inner[-1]))
-                runs = Runs(hashed, inner, width, gram)
+                piece = get(lo, lo + int(inner[-1]))
+                runs = Runs(hashed(piece), inner, width, gram)
                 if len(runs.at):
                     # where a run starts in its document
-                    yield runs, ids[first + runs.doc], runs.at - inner[runs.doc] + place, hashed
+                    yield runs, ids[first + runs.doc], runs.at - inner[runs.doc] + place, piece
 
 
 # -- count-min sketch ------------------------------------------------------------------------------
@@ -200,21 +212,23 @@ def sketch_width(items: float) -> int:
 # -- settling --------------------------------------------------------------------------------------
 
 
-def settle(key0, key1, doc, at, n, by_doc: bool) -> Iterator[pa.RecordBatch]:
+def settle(key0, key1, doc, at, n, seen, by_doc: bool) -> Iterator[pa.RecordBatch]:
     """What one task can decide about its own rows, and one row for each distinct key for the others.
 
-    by_doc: a row is repeated if a smaller document has its key; else if any other row has it.
+    by_doc: a row is repeated if a smaller document has its key; else if any other row has it. seen: 2 for a row that
+    stands for several.
     """
     order = np.lexsort((at, doc, key1, key0))
-    key0, key1, doc, at, n = (x[order] for x in (key0, key1, doc, at, n))
+    key0, key1, doc, at, n, seen = (x[order] for x in (key0, key1, doc, at, n, seen))
     new = np.empty(len(key0), bool)
     new[:1] = True
     new[1:] = (key0[1:] != key0[:-1]) | (key1[1:] != key1[:-1])
     start = np.flatnonzero(new)
     size = np.diff(start, append=len(key0))
     group = np.cumsum(new) - 1
-    covered = doc > doc[start][group] if by_doc else (size > 1)[group]
-    seen = np.minimum(size, 2)[group].astype(np.int32)
+    count = np.add.reduceat(seen, start) if len(start) else size
+    covered = doc > doc[start][group] if by_doc else (count > 1)[group]
+    seen = np.minimum(count, 2)[group].astype(np.int32)
     send = ~covered if by_doc else new
     # what is settled here, neighbouring stretches of a document as one
     d, a, z = doc[covered], at[covered], (at + n)[covered]
@@ -288,13 +302,14 @@ def repeated_stretches(docs: DataFrame, tokens: Tokens, total: float, width: int
             for runs, doc, at, _ in runs_of(batches, tokens, width, gram):
                 pick = np.flatnonzero(repeated(runs.anchor, bits.value, cells_wide))
                 if len(pick):
-                    yield runs.anchor[pick], runs.content(pick), doc[pick], at[pick], runs.n[pick]
+                    yield runs.anchor[pick], runs.content(pick), doc[pick], at[pick], runs.n[pick], np.ones(len(pick), np.int64)
 
         return settled(parts(), by_doc)
 
     by_run = common.written(docs.mapInArrow(runs_again, RUN), "runs")
 
-    varied = by_run.where(~F.col("settled")).groupBy("key0").agg(F.min("key1").alias("lo"), F.max("key1").alias("hi")).where("lo <> hi").select("key0")
+    sent = by_run.where(~F.col("settled")).groupBy("key0").agg(F.min("key1").alias("lo"), F.max("key1").alias("hi"), F.count("*").alias("rows"))
+    varied = common.written(sent.where("lo <> hi").select("key0", "rows"), "varied")
 
     def mark(batches):
         for batch in batches:
@@ -302,23 +317,86 @@ def repeated_stretches(docs: DataFrame, tokens: Tokens, total: float, width: int
             if len(key):
                 yield from sketch_rows([key, key], cells_wide)
 
-    varied_bits = spark.sparkContext.broadcast(merged(varied.mapInArrow(mark, SEGMENTS), cells_wide))
+    varied_bits = spark.sparkContext.broadcast(merged(varied.select("key0").mapInArrow(mark, SEGMENTS), cells_wide))
+    large_bits = spark.sparkContext.broadcast(merged(varied.where(F.col("rows") > LARGE).select("key0").mapInArrow(mark, SEGMENTS), cells_wide))
+
+    def varied_runs(batches, large: bool):
+        for runs, doc, at, piece in runs_of(batches, tokens, width, gram):
+            pick = np.flatnonzero(repeated(runs.anchor, varied_bits.value, cells_wide))
+            pick = pick[repeated(runs.anchor[pick], large_bits.value, cells_wide) == large]
+            if len(pick):
+                yield runs, pick, doc[pick], at[pick], piece
 
     def single_windows(batches):
         def parts():
-            for runs, doc, at, hashed in runs_of(batches, tokens, width, gram):
-                pick = np.flatnonzero(repeated(runs.anchor, varied_bits.value, cells_wide))
-                if len(pick):
-                    n = runs.n[pick]
-                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    start = np.repeat(runs.at[pick], n) + step
-                    other = Prefix(mix(hashed + U64(0xA0761D6478BD642F)))
-                    yield runs.prefix.spans(start, start + width), other.spans(start, start + width), np.repeat(doc[pick], n), np.repeat(at[pick], n) + step, np.ones(len(start), np.int64)
+            for runs, pick, doc, at, piece in varied_runs(batches, True):
+                yield windows(hashed(piece), runs.at[pick], runs.n[pick], doc, at, np.ones(len(pick), np.int64), width)
 
         return settled(parts(), by_doc)
 
+    def contents(batches):
+        """One row for each distinct run of a piece, with its tokens."""
+        for runs, pick, doc, at, piece in varied_runs(batches, False):
+            order = np.lexsort((doc, runs.content(pick)))
+            pick, doc, at = pick[order], doc[order], at[order]
+            content = runs.content(pick)
+            new = np.append(True, content[1:] != content[:-1])
+            if by_doc:
+                first = np.flatnonzero(new)
+                keep = doc == doc[first][np.cumsum(new) - 1]
+                seen = np.ones(len(pick), np.int32)
+            else:
+                keep = new
+                seen = np.minimum(np.diff(np.flatnonzero(new), append=len(new)), 2)[np.cumsum(new) - 1].astype(np.int32)
+            pick, doc, at, seen = pick[keep], doc[keep], at[keep], seen[keep]
+            n = runs.n[pick]
+            size = n - 1 + width
+            end = np.cumsum(size)
+            taken = piece[np.arange(end[-1]) + np.repeat(runs.at[pick] - (end - size), size)]
+            offsets = np.append(0, end * piece.itemsize).astype(np.int32)
+            blob = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(taken))])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(runs.anchor[pick])), pa.array(doc), pa.array(at), pa.array(n), pa.array(seen), blob], names=["key0", "doc", "at", "n", "seen", "content"])
+
+    def meet(batches):
+        """Groups the windows of an anchor; its rows follow each other, in one partition."""
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows > CHUNK:
+                table = pa.Table.from_batches(held).combine_chunks()
+                key = table.column("key0").to_numpy()
+                cut = int(np.searchsorted(key, key[-1], "left"))
+                if cut:
+                    yield from met(table.slice(0, cut))
+                held = table.slice(cut).combine_chunks().to_batches()
+                rows = len(table) - cut
+        if held:
+            yield from met(pa.Table.from_batches(held).combine_chunks())
+
+    def met(table: pa.Table):
+        blob = table.column("content").combine_chunks()
+        data, bounds = common.utf8(blob)
+        if item.itemsize > 1:
+            data, bounds = np.frombuffer(data.tobytes(), item), bounds // item.itemsize
+        doc, at, n, seen = (table.column(c).to_numpy() for c in ("doc", "at", "n", "seen"))
+        for batch in settle(*windows(hashed(data), bounds[:-1], n, doc, at, seen, width), by_doc):
+            if batch.column("settled")[0].as_py():
+                yield batch.select(["doc", "at", "n"])
+
+    item = np.dtype(np.uint8 if tokens is byte_tokens else U64)
+    small = docs.mapInArrow(contents, CONTENT).repartition(common.shuffle_partitions(spark), "key0").sortWithinPartitions("key0").mapInArrow(meet, "doc long, at long, n long")
     by_window = common.written(docs.mapInArrow(single_windows, RUN), "windows")
-    return judged(by_run, by_doc).unionByName(judged(by_window, by_doc))
+    return common.written(judged(by_run, by_doc).unionByName(judged(by_window, by_doc)).unionByName(small), "stretches")
+
+
+def windows(tokens: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.ndarray, at: np.ndarray, seen: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """The single windows of some runs, for settle()."""
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    first = np.repeat(start, n) + step
+    one, two = Prefix(tokens), Prefix(mix(tokens + U64(0xA0761D6478BD642F)))
+    return one.spans(first, first + width), two.spans(first, first + width), np.repeat(doc, n), np.repeat(at, n) + step, np.ones(len(first), np.int64), np.repeat(seen, n)
 
 
 def as_mask(size: int, spans: list, width: int) -> np.ndarray:

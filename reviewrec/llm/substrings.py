@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import common, repeats
 
 #: Bytes of a string that counts as copied, and of its anchor (the first radix digit).
-BYTES, BYTE_GRAM = 50, 24
+BYTES, BYTE_GRAM = 50, 20
 #: Words of a window, and of its anchor.
 WORDS, WORD_GRAM = 35, 10
 
@@ -33,7 +33,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     Equal texts: all but the smallest key lose everything. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.prepare(spark)
     plain = repeats.ids_and_text(docs, key, text)
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     found = repeats.repeated_stretches(plain, repeats.byte_tokens, total, width, gram, by_doc=True)
@@ -76,7 +76,7 @@ def window_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     are repeats: both lose the window. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.prepare(spark)
     plain = repeats.ids_and_text(docs, key, text)
     total = (plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 5
     found = repeats.repeated_stretches(plain, repeats.word_tokens, total, width, gram, by_doc=False)

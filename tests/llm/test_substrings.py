@@ -81,7 +81,7 @@ def test_long_text_is_cut_into_pieces(spark, monkeypatch):
     rows = mixed(7, 20)
     import numpy as np
 
-    for width, gram, tokens in ((50, 24, repeats.byte_tokens), (35, 10, repeats.word_tokens)):
+    for width, gram, tokens in ((50, 20, repeats.byte_tokens), (35, 10, repeats.word_tokens)):
         import pyarrow as pa
 
         batch = pa.record_batch({"id": pa.array([r[0] for r in rows]), "text": pa.array([r[1] for r in rows])})
