@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op1_packing
 from .substrings import op4_suffix_array, op9_substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op4_suffix_array": op4_suffix_array,
     "op9_substring": op9_substring,
 }
