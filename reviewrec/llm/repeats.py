@@ -307,23 +307,25 @@ def repeated_stretches(docs: DataFrame, tokens: Tokens, total: float, width: int
         return settled(parts(), by_doc)
 
     by_run = common.written(docs.mapInArrow(runs_again, RUN), "runs")
+    bits.destroy()
 
     sent = by_run.where(~F.col("settled")).groupBy("key0").agg(F.min("key1").alias("lo"), F.max("key1").alias("hi"), F.count("*").alias("rows"))
     varied = common.written(sent.where("lo <> hi").select("key0", "rows"), "varied")
+    cells_varied = sketch_width(varied.count())
 
     def mark(batches):
         for batch in batches:
             key = batch.column(0).to_numpy().view(U64)
             if len(key):
-                yield from sketch_rows([key, key], cells_wide)
+                yield from sketch_rows([key, key], cells_varied)
 
-    varied_bits = spark.sparkContext.broadcast(merged(varied.select("key0").mapInArrow(mark, SEGMENTS), cells_wide))
-    large_bits = spark.sparkContext.broadcast(merged(varied.where(F.col("rows") > LARGE).select("key0").mapInArrow(mark, SEGMENTS), cells_wide))
+    varied_bits = spark.sparkContext.broadcast(merged(varied.select("key0").mapInArrow(mark, SEGMENTS), cells_varied))
+    large_bits = spark.sparkContext.broadcast(merged(varied.where(F.col("rows") > LARGE).select("key0").mapInArrow(mark, SEGMENTS), cells_varied))
 
     def varied_runs(batches, large: bool):
         for runs, doc, at, piece in runs_of(batches, tokens, width, gram):
-            pick = np.flatnonzero(repeated(runs.anchor, varied_bits.value, cells_wide))
-            pick = pick[repeated(runs.anchor[pick], large_bits.value, cells_wide) == large]
+            pick = np.flatnonzero(repeated(runs.anchor, varied_bits.value, cells_varied))
+            pick = pick[repeated(runs.anchor[pick], large_bits.value, cells_varied) == large]
             if len(pick):
                 yield runs, pick, doc[pick], at[pick], piece
 
