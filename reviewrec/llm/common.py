@@ -120,24 +120,28 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of some documents, and the documents' bounds in them; space: which bytes separate words."""
+def word_places(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of some documents, and the documents' bounds in them; space: which bytes separate words."""
     if not len(data):
-        return np.zeros(0, U64), np.zeros(len(bounds), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
     inside = ~space[data]
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]
-    cut = bounds[:-1][bounds[:-1] < len(data)]
-    before[cut] = False
+    before[bounds[:-1][bounds[:-1] < len(data)]] = False
     start = np.flatnonzero(inside & ~before)
     after = np.empty_like(inside)
     after[-1] = False
     after[:-1] = inside[1:]
-    last = bounds[1:][bounds[1:] > 0] - 1
-    after[last] = False
+    after[bounds[1:][bounds[1:] > 0] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
-    return Prefix(BYTE[data]).spans(start, end), np.searchsorted(start, bounds)
+    return start, end, np.searchsorted(start, bounds)
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some documents, and the documents' bounds in them."""
+    start, end, at = word_places(data, bounds, space)
+    return Prefix(BYTE[data]).spans(start, end), at
 
 
 def signed(x: np.ndarray) -> np.ndarray:
