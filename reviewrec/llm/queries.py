@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .langid import op2_language_id
 from .packing import op1_packing
 from .substrings import op4_suffix_array, op9_substring
+from .topk import OP6_SQL, op6_exact_topk
 from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
     "op4_suffix_array": op4_suffix_array,
+    "op6_exact_topk": op6_exact_topk,
     "op7_toxicity": op7_toxicity,
     "op9_substring": op9_substring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_exact_topk": OP6_SQL}
