@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html import op3_html_extraction
 from .langid import op2_language_id
 from .packing import op1_packing
 from .substrings import op4_suffix_array, op9_substring
@@ -15,6 +16,7 @@ from .toxicity import op7_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
+    "op3_html_extraction": op3_html_extraction,
     "op4_suffix_array": op4_suffix_array,
     "op6_exact_topk": op6_exact_topk,
     "op7_toxicity": op7_toxicity,
