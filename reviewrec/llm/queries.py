@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .html import op3_html_extraction
 from .langid import op2_language_id
+from .near import op5_near_duplicates
 from .packing import op1_packing
 from .substrings import op4_suffix_array, op9_substring
 from .topk import OP6_SQL, op6_exact_topk
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_html_extraction": op3_html_extraction,
     "op4_suffix_array": op4_suffix_array,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_exact_topk": op6_exact_topk,
     "op7_toxicity": op7_toxicity,
     "op9_substring": op9_substring,
