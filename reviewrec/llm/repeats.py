@@ -39,7 +39,7 @@ PIECE = 1 << 19
 HOLD = 3_000_000
 
 #: Rows of an anchor whose windows meet in one partition.
-LARGE = 64
+LARGE = 1000
 #: Rows whose windows are grouped at once there.
 CHUNK = 30_000
 
