@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op10_decontamination
 from .html import op3_html_extraction
 from .langid import op2_language_id
 from .near import op5_near_duplicates
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_topk": op6_exact_topk,
     "op7_toxicity": op7_toxicity,
     "op9_substring": op9_substring,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_exact_topk": OP6_SQL}
