@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op10_decontamination
 from .html import op3_html_extraction
 from .langid import op2_language_id
+from .lines import op8_line_dedup
 from .near import op5_near_duplicates
 from .packing import op1_packing
 from .substrings import op4_suffix_array, op9_substring
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_exact_topk": op6_exact_topk,
     "op7_toxicity": op7_toxicity,
+    "op8_line_dedup": op8_line_dedup,
     "op9_substring": op9_substring,
     "op10_decontamination": op10_decontamination,
 }
