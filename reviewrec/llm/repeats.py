@@ -10,7 +10,8 @@ once. Three scans:
 2. runs of the other anchors are grouped exactly by (anchor, content). A task settles what it can see itself and
    sends one row for each distinct run, so a run shared by a third of the corpus costs one row a task.
 3. where one anchor has several contents, its windows are grouped exactly one by one, by a 128-bit hash: runs of up to
-   `LARGE` rows an anchor meet as contents in the anchor's partition; windows of larger ones are grouped like runs in 2.
+   `LARGE` rows an anchor, or an average partition's, meet as contents in the anchor's partition; windows of larger ones
+   are grouped like runs in 2.
 
 All passes grow in proportion to the input. The sketch has a fixed upper size (`MAX_CELLS`); beyond it more rows
 reach passes 2 and 3, which stay exact.
@@ -38,7 +39,7 @@ PIECE = 1 << 19
 #: Runs that a task holds before it settles and sends them.
 HOLD = 3_000_000
 
-#: Rows of an anchor whose windows meet in one partition.
+#: Rows of an anchor whose windows meet in one partition, at least; more where partitions are larger.
 LARGE = 1000
 #: Rows whose windows are grouped at once there.
 CHUNK = 30_000
@@ -311,7 +312,9 @@ def repeated_stretches(docs: DataFrame, tokens: Tokens, total: float, width: int
 
     sent = by_run.where(~F.col("settled")).groupBy("key0").agg(F.min("key1").alias("lo"), F.max("key1").alias("hi"), F.count("*").alias("rows"))
     varied = common.written(sent.where("lo <> hi").select("key0", "rows"), "varied")
-    cells_varied = sketch_width(varied.count())
+    size = varied.agg(F.count("*").alias("keys"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.max("rows"), F.lit(0)).alias("most")).first()
+    cells_varied = sketch_width(size["keys"])
+    share = max(LARGE, size["rows"] // common.shuffle_partitions(spark))
 
     def mark(batches):
         for batch in batches:
@@ -320,7 +323,7 @@ def repeated_stretches(docs: DataFrame, tokens: Tokens, total: float, width: int
                 yield from sketch_rows([key, key], cells_varied)
 
     varied_bits = spark.sparkContext.broadcast(merged(varied.select("key0").mapInArrow(mark, SEGMENTS), cells_varied))
-    large_bits = spark.sparkContext.broadcast(merged(varied.where(F.col("rows") > LARGE).select("key0").mapInArrow(mark, SEGMENTS), cells_varied))
+    large_bits = spark.sparkContext.broadcast(merged(varied.where(F.col("rows") > share).select("key0").mapInArrow(mark, SEGMENTS), cells_varied))
 
     def varied_runs(batches, large: bool):
         for runs, doc, at, piece in runs_of(batches, tokens, width, gram):
@@ -389,8 +392,10 @@ def repeated_stretches(docs: DataFrame, tokens: Tokens, total: float, width: int
 
     item = np.dtype(np.uint8 if tokens is byte_tokens else U64)
     small = docs.mapInArrow(contents, CONTENT).repartition(common.shuffle_partitions(spark), "key0").sortWithinPartitions("key0").mapInArrow(meet, "doc long, at long, n long")
-    by_window = common.written(docs.mapInArrow(single_windows, RUN), "windows")
-    return common.written(judged(by_run, by_doc).unionByName(judged(by_window, by_doc)).unionByName(small), "stretches")
+    found = judged(by_run, by_doc).unionByName(small)
+    if size["most"] > share:
+        found = found.unionByName(judged(common.written(docs.mapInArrow(single_windows, RUN), "windows"), by_doc))
+    return common.written(found, "stretches")
 
 
 def windows(tokens: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.ndarray, at: np.ndarray, seen: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
