@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import recommend, tables  # noqa: F401  they register their queries
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = QUERIES["hyb9_batch_recommend"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
