@@ -343,7 +343,7 @@ best21 AS (SELECT item_id, score FROM ranked ORDER BY score DESC, item_id LIMIT
 src_content AS (SELECT seed_item, item_id, score, 'content' AS source FROM seeds, best21 WHERE seed_item <> item_id QUALIFY row_number() OVER (PARTITION BY seed_item ORDER BY score DESC, item_id) <= 20),
 all_sources AS (SELECT * FROM src_rules UNION ALL SELECT * FROM src_cf UNION ALL SELECT * FROM src_content),
 fused0 AS (SELECT seed_item, item_id, coalesce(sum(score * 0.45) FILTER (WHERE source = 'cf'), 0) AS cf, coalesce(sum(score * 0.35) FILTER (WHERE source = 'content'), 0) AS content, coalesce(sum(score * 0.2) FILTER (WHERE source = 'rules'), 0) AS rules FROM all_sources GROUP BY ALL),
-fused AS (SELECT seed_item, item_id, round(cf + content + rules, 6) AS score, 'hybrid:' || CASE WHEN rules >= cf AND rules >= content THEN 'rules' WHEN cf >= content THEN 'cf' ELSE 'content' END AS source FROM fused0)"""
+fused AS (SELECT seed_item, item_id, round(1e-9 + cf + content + rules, 6) AS score, 'hybrid:' || CASE WHEN rules >= cf AND rules >= content THEN 'rules' WHEN cf >= content THEN 'cf' ELSE 'content' END AS source FROM fused0)"""
 _REQUESTS = "requests AS (SELECT (seed_item::BIGINT % 50 + 1)::VARCHAR AS user_id, seed_item, (seed_item::BIGINT % 7 + 1)::INTEGER AS top_k FROM seeds)"
 
 
