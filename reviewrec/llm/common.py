@@ -5,33 +5,17 @@ Python here only ever sees one Arrow batch at a time; Spark partitions, shuffles
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-U64 = np.uint64
-_LOCAL: dict[str, str] = {}
+from pyspark.sql import SparkSession
 
+from reviewrec.sources.scratch import scratch_dir, written
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a folder of this process where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="reviewrec-"))
-    return base.rstrip("/")
+__all__ = ["BYTE", "LOWER", "SPACE", "U64", "Prefix", "mix", "powers", "prepare", "scratch_dir", "shuffle_partitions", "signed", "slices", "utf8", "word_hashes", "word_places", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: lineage ends here, so a lost executor costs one read."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+U64 = np.uint64
 
 
 def prepare(spark: SparkSession, rows: int = 1000) -> None:
