@@ -295,9 +295,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     named = common.written(classes.join(component, classes["first"] == component.node, "left").select("name0", "name1", F.col("n").alias("size"), F.coalesce("component", "first").alias("component")), "named")
     own = known.select("doc", "n", "name0", "name1")
-    joined = own.where("n > 0").join(named.where("size > 0"), ["name0", "name1"], "left").where("size = n")
-    alone = own.where("n = 0").select("doc", "n", F.col("doc").alias("component"))
-    every = joined.select("doc", "n", F.when(F.col("doc").isNotNull(), F.col("component")).alias("component")).unionByName(alone)
+    joined = own.where("doc is not null and n > 0").join(named.where("size > 0"), ["name0", "name1"], "left").where("size = n")
+    alone = own.where("doc is null or n = 0").select("doc", "n", F.col("doc").alias("component"))
+    every = joined.select("doc", "n", "component").unionByName(alone)
     return every.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("kept"))
 
 

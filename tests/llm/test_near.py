@@ -80,6 +80,12 @@ def test_edges(spark):
     assert near.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_null_keys_stay(spark):
+    df = spark.createDataFrame([(None, "a b c d e f", "x"), (None, "g h i j k l m", "x"), (None, None, "x"), (1, "a b c d e f", "x")], SCHEMA)
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted([(None, 2, None, True), (None, 3, None, True), (None, 0, None, True), (1, 2, 1, True)], key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (200, 150), (7, 7), (300, 300)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
