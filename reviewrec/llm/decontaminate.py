@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import common
 from .common import LOWER
 
-#: An item is indexed in units of about so many words; passages are twice as long and overlap by half, so some passage has a whole unit.
+#: An item is indexed in units of at most one word more than this; passages are twice as long and overlap by half, so some passage has a whole unit.
 UNIT = 32
 #: BM25 saturation and length weights. A unit's score is its share of the unit's own BM25 mass.
 K1, B = 1.2, 0.75
@@ -47,6 +47,30 @@ def covered(item: np.ndarray, shingles: set[tuple]) -> np.ndarray:
     return out
 
 
+def cut(own: np.ndarray) -> list[np.ndarray]:
+    """The units of an item's words."""
+    return np.array_split(own, max(1, -(-len(own) // (UNIT + 1))))
+
+
+class Frequencies:
+    """In how many units of the whole benchmark each term is, and the units' number and words."""
+
+    def __init__(self):
+        self.terms, self.df, self.number, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0
+
+    def add(self, texts: list[str]) -> None:
+        hashes, at = words(texts)
+        units = [u for k in range(len(texts)) if at[k + 1] > at[k] for u in cut(hashes[at[k] : at[k + 1]])]
+        self.number, self.size = self.number + len(units), self.size + sum(map(len, units))
+        every = np.concatenate([self.terms, *(np.unique(u) for u in units)])
+        count = np.concatenate([self.df, np.ones(len(every) - len(self.df), np.int64)])
+        self.terms, at = np.unique(every, return_inverse=True)
+        self.df = np.bincount(at, count, len(self.terms)).astype(np.int64)
+
+    def of(self, term: np.ndarray) -> dict[int, int]:
+        return dict(zip(term.tolist(), self.df[np.searchsorted(self.terms, term)].tolist(), strict=True))
+
+
 class Index:
     """Inverted lists over units, by blocks, with the largest weight of each term in a block.
 
@@ -54,7 +78,10 @@ class Index:
     threshold has at least the other half in listed terms.
     """
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], whole: Frequencies | None = None):
+        if whole is None:
+            whole = Frequencies()
+            whole.add(texts)
         hashes, at = words(texts)
         self.items: list[tuple[int, np.ndarray, int]] = []
         units: list[np.ndarray] = []
@@ -66,17 +93,16 @@ class Index:
             parts = [len(words([p])[0]) for p in _SENTENCE.split(text)]
             parts = [p for p in parts if p]
             question = sum(parts[:-1]) if len(parts) > 1 else len(own) - max(1, len(own) // 3)
-            self.item_of += [len(self.items)] * (n := max(1, round(len(own) / UNIT)))
+            self.item_of += [len(self.items)] * len(parts := cut(own))
             self.items.append((name, own, question))
-            units += np.array_split(own, n)
-        number = len(units)
-        df = Counter(t for u in units for t in set(u.tolist()))
-        mean = np.mean([len(u) for u in units]) if units else 1
+            units += parts
+        df = whole.of(np.unique(hashes))
+        mean = whole.size / max(1, whole.number)
         self.weights: list[dict[int, float]] = []
         listed: dict[int, dict[int, float]] = {}
-        self.rest = np.zeros(-(-number // BLOCK) or 1)
+        self.rest = np.zeros(-(-len(units) // BLOCK) or 1)
         for k, u in enumerate(units):
-            w = {t: np.log(1 + (number - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(u) / mean)) for t, f in Counter(u.tolist()).items()}
+            w = {t: np.log(1 + (whole.number - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(u) / mean)) for t, f in Counter(u.tolist()).items()}
             mass = sum(w.values())
             w = {t: x / mass for t, x in w.items()}
             self.weights.append(w)
@@ -146,7 +172,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     five-word shingles of the document. Words are letters and digits in lower case.
 
     Null texts and texts without words: nothing found. Items without words are left out; repeated items are each found. A benchmark over
-    INDEX_ITEMS items or INDEX_BYTES is scanned in parts, each weighted by its own part. Empty tables: nothing found, no rows.
+    INDEX_ITEMS items or INDEX_BYTES is scanned in parts, weighted alike. Empty tables: nothing found, no rows.
     Repeated rows of docs get equal results. Columns of docs with an output's name give way.
     """
     spark = docs.sparkSession
@@ -158,9 +184,16 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     parts = max(1, -(-size.n // INDEX_ITEMS), -(-size.bytes // INDEX_BYTES))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*taken).schema)
     out = docs.select(*taken, F.col(text).cast("string").alias("_text"), F.lit(0).cast("long").alias("n_retrieved"), F.array().cast("array<long>").alias("item_ids"))
+
+    def of_part(part: int) -> list:
+        return sorted(tests.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).toLocalIterator())
+
+    whole = Frequencies()
+    for part in range(parts):
+        whole.add([r.text for r in of_part(part)])
     for part in range(parts):
-        rows = sorted(tests.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).toLocalIterator())
-        index = spark.sparkContext.broadcast(Index([r.id for r in rows], [r.text for r in rows]))
+        rows = of_part(part)
+        index = spark.sparkContext.broadcast(Index([r.id for r in rows], [r.text for r in rows], whole))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

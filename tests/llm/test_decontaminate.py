@@ -75,6 +75,29 @@ def test_parts(spark, monkeypatch):
     assert all(r.doc_id in r.item_ids for r in D.find(docs, tests).collect())
 
 
+def test_some_passage_has_a_whole_unit():
+    for n in range(1, 400):
+        units = D.cut(np.arange(n, dtype=np.uint64))
+        assert max(len(u) for u in units) <= D.UNIT + 1 and sum(len(u) for u in units) == n
+    # units of 45 words lay across two passages
+    index = D.Index([0], [" ".join(f"w{k}" for k in range(45))])
+    assert max(len(w) for w in index.weights) <= D.UNIT + 1
+
+
+def test_parts_find_what_one_index_finds(spark, monkeypatch):
+    items, docs = sample(4)
+    rows, tests = spark.createDataFrame([(k, x, "x") for k, x in enumerate(docs)], SCHEMA), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = lambda: sorted((r.doc_id, r.n_retrieved, r.item_ids) for r in D.find(rows, tests).collect())
+    one = found()
+    monkeypatch.setattr(D, "INDEX_ITEMS", 7)
+    assert found() == one
+    whole = D.Frequencies()
+    whole.add(items[:20])
+    whole.add(items[20:])
+    part = D.Index(list(range(20)), items[:20], whole).weights
+    assert part == D.Index(list(range(60)), items).weights[: len(part)] != D.Index(list(range(20)), items[:20]).weights
+
+
 def test_query(spark, sf):
     items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
     got = {r.doc_id: r for r in D.op10_decontamination(spark, sf).collect()}
