@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import common, repeats
 
-#: Bytes of a string that counts as copied, and of its anchor (the first radix digit).
+#: Bytes of a string that counts as copied, and of its anchor.
 BYTES, BYTE_GRAM = 50, 20
 #: Words of a window, and of its anchor.
 WORDS, WORD_GRAM = 35, 10
@@ -21,11 +21,10 @@ WORDS, WORD_GRAM = 35, 10
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = BYTES, gram: int = BYTE_GRAM, carry: list[str] | None = None) -> DataFrame:
     """Finds every byte that lies in a string of `width` bytes which also starts in a document with a smaller key.
 
-    A depth-limited radix sort of all suffixes, most significant digit first, through `width` bytes only. A suffix's
-    first digit is the least `gram` bytes inside its first `width` bytes, and its place; neighbouring suffixes that share
-    it are carried as one run. Pass 1 counts first digits, and buckets of one are finished (the count is the two-row
-    sketch of `repeats`). Pass 2 orders the runs of full buckets by all their bytes. Pass 3 orders single suffixes,
-    where one first digit has unlike continuations. Equal groups after it are exactly the repeated strings.
+    No suffixes are sorted: windows are grouped by hash, through `width` bytes only. A window's anchor is the least `gram`
+    bytes inside it, and its place; neighbouring windows that share it are carried as one run. Pass 1 drops anchors that
+    occur once (by the two-row sketch of `repeats`). Pass 2 groups the other runs by all their bytes. Pass 3 groups single
+    windows, where one anchor has unlike continuations. Equal groups after it are exactly the repeated strings.
 
     Returns docs' columns (those in `carry`, if given; columns of docs with an output's name give way) plus `cut`: array of (start, end) byte ranges, ascending and apart; `n_bytes`, `n_removed`,
     `kept` (binary, the rest). Null text counts as empty. Texts shorter than `width` lose nothing. A null key
