@@ -11,9 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-from reviewrec.sources.scratch import scratch_dir, written
+from reviewrec.sources.scratch import Scratch, scratch_dir, written
 
-__all__ = ["BYTE", "LOWER", "SPACE", "U64", "Prefix", "mix", "powers", "prepare", "scratch_dir", "shuffle_partitions", "signed", "slices", "utf8", "word_hashes", "word_places", "written"]
+__all__ = ["BYTE", "LOWER", "SPACE", "U64", "Prefix", "Scratch", "mix", "powers", "prepare", "scratch_dir", "shuffle_partitions", "signed", "slices", "utf8", "word_hashes", "word_places", "written"]
 
 U64 = np.uint64
 

@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from .common import Scratch
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every end of an edge (a, b): the smallest node that it is connected to.
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) for every end of an edge (a, b): the smallest node that it is connected to; a table of scratch.
 
     Every round takes the least label among neighbours and then the label of that label, so distances halve. Each
-    round is written out; joins are between written tables, so Spark can split a hub's rows among tasks.
+    round is written out, and its predecessor goes; joins are between written tables, so Spark can split a hub's rows among tasks.
     """
-    pairs = common.written(edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = common.written(pairs.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")), "labels")
+    pairs = scratch.written(edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = table = scratch.written(pairs.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")), "labels")
     while True:
         near = pairs.join(labels, pairs.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        met = common.written(labels.join(near, labels.node == near.a, "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("next")), "met")
+        met = scratch.written(labels.join(near, labels.node == near.a, "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("next")), "met")
         jump = met.select(F.col("node").alias("at"), F.col("next").alias("further"))
         moved = met.join(jump, met.next == jump.at, "left").select("node", F.col("component").alias("was"), F.least("next", F.coalesce("further", "next")).alias("component"))
-        moved = common.written(moved, "labels")
-        labels = moved.select("node", "component")
+        moved = scratch.written(moved, "labels")
+        scratch.drop(met, table)
+        labels, table = moved.select("node", "component"), moved
         if moved.where("was <> component").isEmpty():
-            return labels
+            out = scratch.written(labels, "components")
+            scratch.drop(pairs, table)
+            return out

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, repeats
-from .common import LOWER, U64, Prefix, mix, signed
+from .common import LOWER, U64, Prefix, Scratch, mix, signed
 from .components import connected_components
 
 #: Words of a shingle; links need 100 * intersection >= PERCENT * union.
@@ -127,22 +127,22 @@ def deeper(rows: DataFrame, least: DataFrame) -> DataFrame:
     return rows.select("doc", "tree").join(least, "doc").select("doc", "tree", "least").mapInArrow(keys, "doc long, tree int, " + ", ".join(f"{x} long" for x in names))
 
 
-def branch(rows: DataFrame, least: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def branch(rows: DataFrame, least: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """(node, doc) of the nodes of 2 to SMALL documents, each at the first level where it is so small; (node, tree, doc) of those that stay larger."""
     small: DataFrame | None = None
     for level in range(1, LEVELS + 1):
         key = f"k{level}"
-        large = common.written(rows.groupBy(key).agg(F.count("*").alias("size")).where(F.col("size") > SMALL).select(F.col(key).alias("large")), "large")
+        large = scratch.written(rows.groupBy(key).agg(F.count("*").alias("size")).where(F.col("size") > SMALL).select(F.col(key).alias("large")), "large")
         here = rows.join(large, rows[key] == large.large, "left_anti").select(F.col(key).alias("node"), "doc")
         small = here if small is None else small.unionByName(here)
         if large.isEmpty():
             return small, None
         rows = rows.join(large, rows[key] == large.large, "left_semi")
-        rows = common.written(deeper(rows, least) if level == 1 else rows, "branch")
+        rows = scratch.written(deeper(rows, least) if level == 1 else rows, "branch")
     return small, rows.select(F.col(f"k{LEVELS}").alias("node"), "tree", "doc")
 
 
-def token_sets(docs: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
+def token_sets(docs: DataFrame, wanted: DataFrame, count: int, scratch: Scratch) -> DataFrame:
     """(doc, tokens): full sets of the wanted documents, about `count`; a bit array of their hashes picks them from docs (id, text)."""
     spark = docs.sparkSession
     width = repeats.sketch_width(count)
@@ -163,7 +163,9 @@ def token_sets(docs: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
                 own = np.flatnonzero(np.diff(bounds))
                 yield pa.record_batch({"doc": ids.take(pa.array(docs[own])), "tokens": pa.array([hashes[bounds[k] : bounds[k + 1]].tobytes() for k in own], pa.binary())})
 
-    return common.written(docs.mapInArrow(sets, "doc long, tokens binary"), "sets").dropDuplicates(["doc"])
+    made = scratch.written(docs.mapInArrow(sets, "doc long, tokens binary").dropDuplicates(["doc"]), "sets")
+    bits.destroy()
+    return made
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -175,10 +177,10 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough. docs: (id, text); sets are made for the documents in pairs only."""
+def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar enough, a table of scratch. docs: (id, text); sets are made for the documents in pairs only."""
     ends = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    made = token_sets(docs, ends, 2 * pairs.count())
+    made = token_sets(docs, ends, 2 * pairs.count(), scratch)
     left, right = made.toDF("a", "left"), made.toDF("b", "right")
 
     def similar(batches):
@@ -186,15 +188,17 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             both = zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True)
             yield batch.select(["a", "b"]).filter(pa.array([linked(np.frombuffer(x, U64), np.frombuffer(y, U64)) for x, y in both], pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(similar, "a long, b long")
+    links = scratch.written(pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(similar, "a long, b long"), "links")
+    scratch.drop(made)
+    return links
 
 
-def stars(small: DataFrame, large: DataFrame | None) -> DataFrame:
+def stars(small: DataFrame, large: DataFrame | None, scratch: Scratch) -> DataFrame:
     """Each document of a node with the node's first document."""
     lists = small.groupBy("node").agg(F.sort_array(F.collect_list("doc")).alias("docs")).where(F.size("docs") > 1)
     pairs = lists.select(F.col("docs")[0].alias("a"), F.explode(F.slice("docs", 2, SMALL)).alias("b"))
     if large is not None:
-        first = common.written(large.groupBy("node").agg(F.min("doc").alias("a")), "firsts")
+        first = scratch.written(large.groupBy("node").agg(F.min("doc").alias("a")), "firsts")
         pairs = pairs.unionByName(large.join(first, "node").where("a <> doc").select("a", F.col("doc").alias("b")))
     return pairs.distinct()
 
@@ -223,20 +227,21 @@ def rest_of_small(small: DataFrame, tell: DataFrame) -> DataFrame:
     return mixed.where(F.size(F.array_distinct("component")) > 1).select("docs", "least", "component").mapInArrow(within, "a long, b long")
 
 
-def rest_of_large(large: DataFrame, tell: DataFrame, docs: DataFrame) -> DataFrame:
+def rest_of_large(large: DataFrame, tell: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Links between the documents outside a large node's main component and all others of the node, on full sets.
 
     Those outside travel in parcels; each document of the node meets each parcel, so no row is made for a pair. A pair
     that shares several nodes is compared in its first tree.
     """
-    told = common.written(large.join(tell.select("doc", "component"), "doc"), "large-told")
+    told = scratch.written(large.join(tell.select("doc", "component"), "doc"), "large-told")
     sizes = told.groupBy("node", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("node").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("all")).where("most < all")
-    main = common.written(main.select("node", "main", F.ceil((F.col("all") - F.col("most")) / TOGETHER).alias("parcels")), "mains")
-    mixed = common.written(told.join(main, "node"), "large-mixed")
-    sets = token_sets(docs, mixed.select("doc").distinct(), mixed.count())
+    main = scratch.written(main.select("node", "main", F.ceil((F.col("all") - F.col("most")) / TOGETHER).alias("parcels")), "mains")
+    mixed = scratch.written(told.join(main, "node"), "large-mixed")
+    sets = token_sets(docs, mixed.select("doc").distinct(), mixed.count(), scratch)
     full = mixed.join(sets, "doc").join(tell.select("doc", "least"), "doc")
-    full = common.written(full, "large-full")
+    full = scratch.written(full, "large-full")
+    scratch.drop(told, main, mixed, sets)
     odd = full.where("component <> main").withColumn("parcel", F.pmod(F.xxhash64("doc"), F.col("parcels")))
     odd = odd.groupBy("node", "parcel").agg(F.collect_list(F.struct("doc", "component", "least", "tokens")).alias("odd"))
 
@@ -254,7 +259,9 @@ def rest_of_large(large: DataFrame, tell: DataFrame, docs: DataFrame) -> DataFra
                 if found:
                     yield pa.record_batch({"a": pa.array([min(x, row["doc"]) for x in found], pa.int64()), "b": pa.array([max(x, row["doc"]) for x in found], pa.int64())})
 
-    return full.join(odd, "node").select("tree", "doc", "component", "main", "least", "tokens", "odd").mapInArrow(meet, "a long, b long")
+    links = scratch.written(full.join(odd, "node").select("tree", "doc", "component", "main", "least", "tokens", "odd").mapInArrow(meet, "a long, b long"), "links")
+    scratch.drop(full)
+    return links
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -272,29 +279,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     common.prepare(spark)
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    known = common.written(plain.mapInArrow(signatures, "doc long, n long, name0 long, name1 long, least binary"), "signatures")
-    full = known.where("doc is not null and n > 0")
-    classes = common.written(full.groupBy("name0", "name1", "n").agg(F.min("doc").alias("first")), "classes")
-    firsts = classes.select(F.col("first").alias("doc")).distinct()
-    least = common.written(full.select("doc", "least").join(firsts, "doc", "left_semi").dropDuplicates(["doc"]), "firsts")
-
-    small, large = branch(common.written(nodes_of(least), "nodes"), least)
-    small = common.written(small, "small")
-    plain = plain.where("id is not null and text is not null")
-    first_pairs = common.written(stars(small, large), "stars")
-    links = common.written(verified(first_pairs, plain), "links")
-    component = connected_components(links)
-    tell = least.join(component, least.doc == component.node, "left").select("doc", "least", F.coalesce("component", "doc").alias("component"))
-    tell = common.written(tell, "told")
-    more = verified(common.written(rest_of_small(small, tell).distinct(), "rest"), plain)
-    if large is not None:
-        more = more.unionByName(rest_of_large(large, tell, plain))
-    more = common.written(more, "links")
-    if not more.isEmpty():
-        component = connected_components(links.unionByName(more))
-
-    named = common.written(classes.join(component, classes["first"] == component.node, "left").select("name0", "name1", F.col("n").alias("size"), F.coalesce("component", "first").alias("component")), "named")
-    own = known.select("doc", "n", "name0", "name1")
+    with Scratch(spark) as scratch:
+        known = scratch.written(plain.mapInArrow(signatures, "doc long, n long, name0 long, name1 long, least binary"), "signatures")
+        full = known.where("doc is not null and n > 0")
+        classes = scratch.written(full.groupBy("name0", "name1", "n").agg(F.min("doc").alias("first")), "classes")
+        firsts = classes.select(F.col("first").alias("doc")).distinct()
+        least = scratch.written(full.select("doc", "least").join(firsts, "doc", "left_semi").dropDuplicates(["doc"]), "firsts")
+        own = scratch.written(known.select("doc", "n", "name0", "name1"), "sizes")
+        scratch.drop(known)
+
+        nodes = scratch.written(nodes_of(least), "nodes")
+        small, large = branch(nodes, least, scratch)
+        small = scratch.written(small, "small")
+        plain = plain.where("id is not null and text is not null")
+        first_pairs = scratch.written(stars(small, large, scratch), "stars")
+        links = verified(first_pairs, plain, scratch)
+        component = connected_components(links, scratch)
+        tell = least.join(component, least.doc == component.node, "left").select("doc", "least", F.coalesce("component", "doc").alias("component"))
+        tell = scratch.written(tell, "told")
+        scratch.drop(first_pairs, nodes)
+        rest = scratch.written(rest_of_small(small, tell).distinct(), "rest")
+        more = verified(rest, plain, scratch)
+        if large is not None:
+            more = more.unionByName(rest_of_large(large, tell, plain, scratch))
+        if not more.isEmpty():
+            component = connected_components(links.unionByName(more), scratch)
+        named = classes.join(component, classes["first"] == component.node, "left").select("name0", "name1", F.col("n").alias("size"), F.coalesce("component", "first").alias("component"))
+        named = scratch.written(named, "named")
+        scratch.keep(own, named)
     joined = own.where("doc is not null and n > 0").join(named.where("size > 0"), ["name0", "name1"], "left").where("size = n")
     alone = own.where("doc is null or n = 0").select("doc", "n", F.col("doc").alias("component"))
     every = joined.select("doc", "n", "component").unionByName(alone)

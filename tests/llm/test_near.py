@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from reviewrec.llm.common import Scratch
 from reviewrec.llm import near
 from reviewrec.llm.components import connected_components
 
@@ -88,5 +89,5 @@ def test_null_keys_stay(spark):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (200, 150), (7, 7), (300, 300)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[100] == got[200] == got[150] == 100
