@@ -5,15 +5,17 @@ Python here only ever sees one Arrow batch at a time; Spark partitions, shuffles
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewrec.sources.scratch import Scratch, scratch_dir, written
 
-__all__ = ["BYTE", "LOWER", "SPACE", "U64", "Prefix", "Scratch", "mix", "powers", "prepare", "scratch_dir", "shuffle_partitions", "signed", "slices", "utf8", "word_hashes", "word_places", "written"]
+__all__ = ["BYTE", "LOWER", "SPACE", "U64", "Prefix", "Scratch", "columns", "mapped", "mix", "powers", "prepare", "scratch_dir", "shuffle_partitions", "signed", "slices", "utf8", "word_hashes", "word_places", "written"]
 
 U64 = np.uint64
 
@@ -28,6 +30,30 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# -- columns that go along --------------------------------------------------------------------------
+
+
+def columns(names: list[str]) -> list[Column]:
+    return [F.col(f"`{n}`") for n in names]
+
+
+def mapped(docs: DataFrame, taken: list[str], others: list[Column], step: Callable[[pa.RecordBatch], list[pa.Array]], added: str) -> DataFrame:
+    """Columns of docs by name, and added ones (DDL), which step makes from a batch of the others. Names inside are numbers, so none can clash."""
+    fields = T.StructType.fromDDL(added).fields
+    names = [f"c{k}" for k in range(len(taken))] + [f"added{k}" for k in range(len(fields))]
+    inner = docs.select(*(c.alias(n) for c, n in zip(columns(taken), names, strict=False)), *(c.alias(f"other{k}") for k, c in enumerate(others)))
+    first, asked = len(taken), [f"other{k}" for k in range(len(others))]
+    types = [*(docs.schema[n].dataType for n in taken), *(f.dataType for f in fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = step(pa.RecordBatch.from_arrays(batch.columns[first:], names=asked))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:first], *made], names=names)
+
+    out = inner.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)]))
+    return out.toDF(*taken, *(f.name for f in fields))
+
+
 # -- Arrow buffers ---------------------------------------------------------------------------------
 
 

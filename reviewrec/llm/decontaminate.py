@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -179,42 +178,36 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     common.prepare(spark)
     names = ["n_retrieved", "item_ids", "contaminated"]
     taken = [c for c in carry or docs.columns if c not in names]
-    tests = items.select(F.col(item).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("id is not null and text is not null")
+    tests = items.select(F.col(f"`{item}`").cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).where("id is not null and text is not null")
     size = tests.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     parts = max(1, -(-size.n // INDEX_ITEMS), -(-size.bytes // INDEX_BYTES))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*taken).schema)
-    out = docs.select(*taken, F.col(text).cast("string").alias("_text"), F.lit(0).cast("long").alias("n_retrieved"), F.array().cast("array<long>").alias("item_ids"))
-
     def of_part(part: int) -> list:
         return sorted(tests.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).toLocalIterator())
 
     whole = Frequencies()
     for part in range(parts):
         whole.add([r.text for r in of_part(part)])
+    indexes = []
     for part in range(parts):
         rows = of_part(part)
-        index = spark.sparkContext.broadcast(Index([r.id for r in rows], [r.text for r in rows], whole))
-
-        def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, bounds = common.utf8(batch.column("_text"))
-                retrieved, ids = batch.column("n_retrieved").to_numpy().copy(), batch.column("item_ids").to_pylist()
-                for i, j in common.slices(bounds):
-                    word, at = common.word_hashes(LOWER[data[bounds[i] : bounds[j]]], bounds[i : j + 1] - bounds[i], _APART)
-                    before, shingles = -1, {}
-                    for d, k in index.value.retrieve(word, at):
-                        if d != before:
-                            before, shingles = d, {}
-                        retrieved[i + d] += 1
-                        if index.value.verify(k, shingles, word[at[d] : at[d + 1]]):
-                            ids[i + d].append(index.value.items[k][0])
-                columns = [batch.column(c) for c in [*taken, "_text"]] + [pa.array(retrieved), pa.array([sorted(x) for x in ids], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*taken, "_text", "n_retrieved", "item_ids"])
-
-        out = out.mapInArrow(scan, ", ".join(x for x in (fields, "_text string, n_retrieved long, item_ids array<long>") if x))
-        if part == parts - 1:
-            out = out.drop("_text")
-    return out.withColumn("contaminated", F.size("item_ids") > 0)
+        indexes.append(spark.sparkContext.broadcast(Index([r.id for r in rows], [r.text for r in rows], whole)))
+
+    def scan(batch: pa.RecordBatch) -> list[pa.Array]:
+        data, bounds = common.utf8(batch.column(0))
+        retrieved, ids = np.zeros(len(batch), np.int64), [[] for _ in range(len(batch))]
+        for i, j in common.slices(bounds):
+            word, at = common.word_hashes(LOWER[data[bounds[i] : bounds[j]]], bounds[i : j + 1] - bounds[i], _APART)
+            for index in indexes:
+                before, shingles = -1, {}
+                for d, k in index.value.retrieve(word, at):
+                    if d != before:
+                        before, shingles = d, {}
+                    retrieved[i + d] += 1
+                    if index.value.verify(k, shingles, word[at[d] : at[d + 1]]):
+                        ids[i + d].append(index.value.items[k][0])
+        return [pa.array(retrieved), pa.array([sorted(x) for x in ids], pa.list_(pa.int64())), pa.array([bool(x) for x in ids], pa.bool_())]
+
+    return common.mapped(docs, taken, [F.col(f"`{text}`").cast("string")], scan, "n_retrieved long, item_ids array<long>, contaminated boolean")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

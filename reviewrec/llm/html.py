@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,13 +41,35 @@ SIBLINGS = {
 }
 
 
+#: Tags and class words that mark a block as no part of the article, wherever they stand above it.
+MARKS_OUTSIDE = frozenset(
+    "nav footer aside form button label dialog menu .nav .navbar .menu .breadcrumb .breadcrumbs .footer .sidebar .aside .widget .related .ad .ads .advert .advertisement .promo .sponsor"
+    " .sponsored .banner .cookie .cookies .consent .notice .alert .popup .modal .newsletter .subscribe .login .signup .search .share .social .comment .comments .reply .replies .pagination .copyright .masthead".split()
+)
+MARKS_INSIDE = frozenset("article main .article .content .post .entry .story".split())
+
+PATH = 128
+_VOTES: dict[str, tuple[tuple[int, int], tuple[int, int]]] = {}
+
+
+def votes(name: str) -> tuple[tuple[int, int], tuple[int, int]]:
+    """The two places of a tag or class word in a path vector, and its signs there."""
+    if name not in _VOTES:
+        if len(_VOTES) > 100_000:
+            _VOTES.clear()
+        h = zlib.crc32(name.encode())
+        _VOTES[name] = (h % PATH, 1 if h >> 20 & 1 else -1), ((h >> 8) % PATH, 1 if h >> 21 & 1 else -1)
+    return _VOTES[name]
+
+
 @dataclass
 class Leaf:
-    """A block: its text, the tags and class words above it, and how much of it is link text."""
+    """A block: its text, a signed hash of the different tags and class words above it, how much of it is link text, and whether its markup tells that it belongs to the article."""
 
     text: str
-    path: tuple[str, ...]
+    path: np.ndarray
     linked: float
+    marked: bool
 
 
 def _labels(tag: str, attributes: str) -> tuple[str, ...]:
@@ -57,35 +79,97 @@ def _labels(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(names)
 
 
+class Stack:
+    """Open elements, where each tag is among them, and how often each name is; every step costs what it adds or takes away."""
+
+    def __init__(self):
+        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.names: dict[str, int] = {}
+        self.vector, self.taken = [0] * PATH, None
+        self.outside = self.inside = 0
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, names))
+        for n in names:
+            before = self.names.get(n, 0)
+            self.names[n] = before + 1
+            if not before:
+                self._change(n, 1)
+
+    def pop_to(self, k: int) -> None:
+        while len(self.open) > k:
+            tag, names = self.open.pop()
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+            for n in names:
+                self.names[n] -= 1
+                if not self.names[n]:
+                    del self.names[n]
+                    self._change(n, -1)
+
+    def _change(self, name: str, by: int) -> None:
+        for at, sign in votes(name):
+            self.vector[at] += sign * by
+        self.taken = None
+        self.outside += by * (name in MARKS_OUTSIDE)
+        self.inside += by * (name in MARKS_INSIDE)
+
+    def last(self, tag: str) -> int:
+        """The innermost open element of a tag; -1 for none."""
+        at = self.places.get(tag)
+        return at[-1] if at else -1
+
+    def path(self) -> np.ndarray:
+        if self.taken is None:
+            self.taken = np.array(self.vector, np.float32)
+        return self.taken
+
+    def marked(self) -> bool:
+        return self.inside > 0 and not self.outside and not ("header" in self.names and "article" not in self.names)
+
+    def end_siblings(self, tag: str) -> None:
+        """What an opening block ends: the nearest element of its kind, or of a table's cells and rows all, up to a wall."""
+        kinds, walls = SIBLINGS.get(tag, ({"p"}, {"button", "table", "td", "th"}))
+        wall = max((self.last(w) for w in walls), default=-1)
+        if tag in ("tr", "td", "th"):
+            ends = [at[bisect.bisect_right(at, wall)] for k in kinds if (at := self.places.get(k)) and at[-1] > wall]
+            if ends:
+                self.pop_to(min(ends))
+        else:
+            k = max(self.last(x) for x in kinds)
+            if k > wall:
+                self.pop_to(k)
+
+
 def leaves(page: str) -> list[Leaf]:
-    """The text blocks of a page in order; tolerates unclosed and unopened elements, comments and broken markup."""
+    """The text blocks of a page in order, in time that grows with its length; tolerates unclosed and unopened elements, comments and broken markup."""
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = Stack()
     parts: list[str] = []
-    linked = 0
-    links = 0
+    linked, last, headless = 0, page.rfind(">"), False
 
     def close_block() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Leaf(text, tuple(x for _, names in stack for x in names), min(1.0, linked / len(text))))
+                out.append(Leaf(text, stack.path(), min(1.0, linked / len(text)), stack.marked()))
             parts.clear()
         linked = 0
 
-    def pop_to(k: int) -> None:
-        nonlocal links
-        while len(stack) > k:
-            links -= stack.pop()[0] == "a"
-
     at = 0
     while at < len(page):
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None
         text = page[at : m.start() if m else len(page)]
         if text:
             parts.append(text)
-            if links:
+            if stack.last("a") >= 0:
                 linked += len(text)
         if not m:
             break
@@ -94,56 +178,34 @@ def leaves(page: str) -> list[Leaf]:
             continue
         tag = m[2].lower()
         if m[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            k = stack.last(tag)
             if tag in BLOCKS:
                 close_block()
-            if k is not None and (tag in BLOCKS or not any(t in BLOCKS for t, _ in stack[k:])):
-                pop_to(k)
+            if k >= 0 and (tag in BLOCKS or not stack.blocks or stack.blocks[-1] < k):
+                stack.pop_to(k)
             continue
         if tag == "br":
             parts.append(" ")
             continue
         if tag in SKIPPED:
-            if not m[3].rstrip().endswith("/"):
+            if not m[3].rstrip().endswith("/") and not (tag == "head" and headless):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>" if tag != "head" else r"</head\b[^>]*>|(?=<body\b)", re.I).search(page, at)
+                headless = tag == "head" and not end
                 at = end.end() if end else (len(page) if tag != "head" else at)
             continue
         if tag in BLOCKS:
             close_block()
-            kinds, walls = SIBLINGS.get(tag, ({"p"}, {"button", "table", "td", "th"}))
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in walls:
-                    break
-                if stack[k][0] in kinds:
-                    pop_to(k)
-                    if tag not in ("tr", "td", "th"):
-                        break
+            stack.end_siblings(tag)
         if tag not in VOID and not m[3].endswith("/"):
-            links += tag == "a"
-            stack.append((tag, _labels(tag, m[3])))
+            stack.push(tag, _labels(tag, m[3]))
     close_block()
     return out
 
 
 # -- features --------------------------------------------------------------------------------------
 
-PATH, WORDS, OTHER, HIDDEN = 128, 32, 5, 16
+WORDS, OTHER, HIDDEN = 32, 5, 16
 INPUT = PATH + WORDS + OTHER
-_PATHS: dict[tuple[str, ...], np.ndarray] = {}
-
-
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """A signed hash of the tags and class words above a block."""
-    if path not in _PATHS:
-        if len(_PATHS) > 50_000:
-            _PATHS.clear()
-        v = np.zeros(PATH, np.float32)
-        for name in set(path):
-            h = zlib.crc32(name.encode())
-            v[h % PATH] += 1 if h >> 20 & 1 else -1
-            v[(h >> 8) % PATH] += 1 if h >> 21 & 1 else -1
-        _PATHS[path] = v
-    return _PATHS[path]
 
 
 def features(pages: list[list[Leaf]]) -> np.ndarray:
@@ -152,7 +214,7 @@ def features(pages: list[list[Leaf]]) -> np.ndarray:
     out = np.zeros((len(every), INPUT), np.float32)
     if not every:
         return out
-    out[:, :PATH] = [path_vector(x.path) for x in every]
+    out[:, :PATH] = [x.path for x in every]
     data, bounds = common.utf8(pa.array([x.text for x in every], pa.large_string()))
     for i, j in common.slices(bounds):
         word, at = common.word_hashes(common.LOWER[data[bounds[i] : bounds[j]]], bounds[i : j + 1] - bounds[i])
@@ -283,12 +345,6 @@ def train(pages: list[list[Leaf]], labels: list[list[int]], epochs: int = 6, see
 
 # -- what it learns from ---------------------------------------------------------------------------
 
-#: Tags and class words that mark a block as no part of the article, wherever they stand above it.
-MARKS_OUTSIDE = frozenset(
-    "nav footer aside form button label dialog menu .nav .navbar .menu .breadcrumb .breadcrumbs .footer .sidebar .aside .widget .related .ad .ads .advert .advertisement .promo .sponsor"
-    " .sponsored .banner .cookie .cookies .consent .notice .alert .popup .modal .newsletter .subscribe .login .signup .search .share .social .comment .comments .reply .replies .pagination .copyright .masthead".split()
-)
-MARKS_INSIDE = frozenset("article main .article .content .post .entry .story".split())
 #: Sampled pages that are labelled by these marks, and pages generated with other markup.
 SAMPLE, GENERATED = 200, 700
 #: Longer pages don't enter the sample.
@@ -296,7 +352,7 @@ SAMPLE_CHARS = 200_000
 
 
 def marked(page: list[Leaf]) -> list[int]:
-    return [int(not MARKS_OUTSIDE.intersection(x.path) and bool(MARKS_INSIDE.intersection(x.path)) and not ("header" in x.path and "article" not in x.path)) for x in page]
+    return [int(x.marked) for x in page]
 
 
 def generated(n: int, seed: int = 5) -> tuple[list[list[Leaf]], list[list[int]]]:
@@ -403,13 +459,8 @@ def extract(pages: DataFrame, key: str = "page_id", html: str = "html", carry: l
     net = spark.sparkContext.broadcast(fit(pages, html, key))
     taken = [c for c in carry or pages.columns if c != "text"]
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = main_text(batch.column("_html").to_pylist(), net.value)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in taken), pa.array(texts, pa.string())], names=[*taken, "text"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*taken).schema)
-    return pages.select(*taken, F.col(html).cast("string").alias("_html")).mapInArrow(label, f"{fields}, text string")
+    label = lambda batch: [pa.array(main_text(batch.column(0).to_pylist(), net.value), pa.string())]
+    return common.mapped(pages, taken, [F.col(f"`{html}`").cast("string")], label, "text string")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,11 @@ from . import common
 #: Letters fall into this many symbols; 0 is anything between words. Four of them make a gram of 24 bits.
 SYMBOLS, ORDER = 64, 4
 UNKNOWN = "und"
-#: A text is rejected if its cross-entropy exceeds its language's own mean by so many standard errors plus this share of the mean.
-ERRORS, SLACK = 6.0, 0.25
+#: Of the training rows one in FOLD is held out to learn which cross-entropies texts of a language and length have, by a model of the others. A text is
+#: rejected if its own exceeds their QUANTILE by this share of the language's mean.
+FOLD, QUANTILE, MARGIN = 10, 0.999, 0.1
+#: Where fewer than LEAST held-out texts of a length are there: beyond the mean of the model's own counts by so many standard errors plus this share.
+LEAST, ERRORS, SLACK = 50, 6.0, 0.25
 #: Neighbouring characters aren't independent: a text counts as so many observations a character.
 WEIGHT = 0.25
 
@@ -45,7 +48,6 @@ def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     np.cumsum([len(t) + 3 for t in texts], out=bounds[1:])
     raw = np.frombuffer("".join("   " + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     code = symbols()[raw]
-    code[code == 0] = 0
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] > 0) | (code[:-1] > 0)
     for k in range(3):
@@ -75,6 +77,8 @@ class Model:
     backoff: np.ndarray
     mean: np.ndarray
     deviation: np.ndarray
+    #: (languages, lengths as powers of two): the largest cross-entropy that is accepted; infinite where unknown.
+    limits: np.ndarray | None = None
 
     def log_probabilities(self, gram: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.grams, gram), max(0, len(self.grams) - 1))
@@ -171,10 +175,39 @@ def learn(docs: DataFrame, text: str, label: str) -> Model:
     return build({x: ((keys[m] & 0xFFFFFF).astype(np.uint32), n[m]) for x, k in place.items() if (m := keys >> 24 == k).any()})
 
 
-def score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Language, confidence, cross-entropy in nats a character, and whether the text is accepted as that language."""
+def calibrated(held: DataFrame, text: str, label: str, model: Model) -> np.ndarray:
+    """Limits of a model's languages by the length of a text, from rows that it hasn't learned."""
+    fields = "language string, size int, entropy double"
+
+    def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, _, entropy, _, n = score(batch.column(0).to_pylist(), model)
+            right = np.array([a == b for a, b in zip(best, batch.column(1).to_pylist(), strict=True)], bool) & np.isfinite(entropy)
+            keep = np.flatnonzero(right)
+            yield pa.record_batch({"language": pa.array([best[k] for k in keep], pa.string()), "size": pa.array(lengths(n[keep]).astype(np.int32)), "entropy": pa.array(entropy[keep])})
+
+    labelled = held.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string"), F.col(label).cast("string"))
+    rows = labelled.mapInArrow(entropies, fields).groupBy("language", "size").agg(F.percentile_approx("entropy", QUANTILE, 10_000).alias("most"), F.count("*").alias("n"))
+    out = np.full((len(model.languages), SIZES), np.nan)
+    for r in rows.where(F.col("n") >= LEAST).toLocalIterator():
+        k = model.languages.index(r.language)
+        out[k, r["size"]] = r.most + MARGIN * model.mean[k]
+    return out
+
+
+SIZES = 32
+
+
+def lengths(n: np.ndarray) -> np.ndarray:
+    """Numbers of characters as powers of two."""
+    return np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), SIZES - 1)
+
+
+def score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, confidence, cross-entropy in nats a character, whether the text is accepted as that language, and its number of characters."""
     filled = [t or "" for t in texts]
     best, confidence, entropy, accepted = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan), np.zeros(len(texts), bool)
+    sizes_in = np.zeros(len(texts), np.int64)
     sizes = np.append(0, np.cumsum([len(t) + 3 for t in filled]))
     for i, j in common.slices(sizes, 1 << 19):
         gram, bounds, letters = coded(filled[i:j])
@@ -183,21 +216,29 @@ def score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray,
         n = np.diff(bounds)
         sums = np.zeros((j - i, len(model.languages)))
         full = np.flatnonzero(n)
-        for lo in range(0, len(model.languages), 16):
-            part = model.log_probabilities(gram)[:, lo : lo + 16] if len(model.languages) > 16 else model.log_probabilities(gram)
-            sums[full, lo : lo + 16] = np.add.reduceat(part, bounds[:-1][full], axis=0, dtype=np.float64)
+        # about as many values at a time, whatever the number of languages
+        step = max(1, (1 << 24) // len(model.languages))
+        edges = bounds[:-1][full]
+        for d in range(0, len(full), max(1, len(full) * step // max(1, len(gram)))) if len(full) else ():
+            part = full[d : d + max(1, len(full) * step // max(1, len(gram)))]
+            lo, hi = edges[d], bounds[part[-1] + 1]
+            sums[part] = np.add.reduceat(model.log_probabilities(gram[lo:hi]), bounds[:-1][part] - lo, axis=0, dtype=np.float64)
         cross = -sums / np.maximum(n, 1)[:, None]
         k = cross.argmin(1)
         least = cross[np.arange(len(k)), k]
         weight = np.exp(-(cross - least[:, None]) * np.maximum(n, 1)[:, None] * WEIGHT)
         limit = model.mean[k] * (1 + SLACK) + ERRORS * model.deviation[k] / np.sqrt(np.maximum(n, 1) * WEIGHT)
+        if model.limits is not None:
+            own = model.limits[k, lengths(n)]
+            limit = np.where(np.isnan(own), limit, own)
         ok = letters > 0
+        sizes_in[i:j] = n
         confidence[i:j] = np.where(ok, 1 / weight.sum(1), 0)
         entropy[i:j] = np.where(ok, least, np.nan)
         accepted[i:j] = ok & (least <= limit)
         for d in np.flatnonzero(ok):
             best[i + d] = model.languages[k[d]]
-    return best, confidence, entropy, accepted
+    return best, confidence, entropy, accepted, sizes_in
 
 
 def identify(docs: DataFrame, train: DataFrame, text: str = "text", label: str = "lang", carry: list[str] | None = None) -> DataFrame:
@@ -205,27 +246,29 @@ def identify(docs: DataFrame, train: DataFrame, text: str = "text", label: str =
 
     One interpolated Kneser-Ney model of character four-grams for each label, from all of train. The label with the
     least cross-entropy a character wins, score is its share among all labels. A text is not accepted if that
-    cross-entropy is beyond what the model's own counts let expect at its length (ERRORS, SLACK).
+    cross-entropy is beyond what held-out texts of its language and length have (FOLD, QUANTILE, MARGIN), by a model of the others.
 
     Null text, and text without a letter: `und`, score 0, not accepted. Null labels are not learned; without any label all
     texts are `und`. Ties go to the first label in order. Columns of docs with an output's name give way.
     """
     spark = docs.sparkSession
     common.prepare(spark)
-    model: Broadcast[Model] = spark.sparkContext.broadcast(learn(train, text, label))
+    held = F.pmod(F.xxhash64(F.col(f"`{text}`").cast("string")), F.lit(FOLD)) == 0
+    learned, part = learn(train, text, label), learn(train.where(~held), text, label)
+    limits = calibrated(train.where(held), text, label, part)
+    learned.limits = np.full((len(learned.languages), SIZES), np.nan)
+    for k, language in enumerate(part.languages):
+        learned.limits[learned.languages.index(language)] = limits[k]
+    model: Broadcast[Model] = spark.sparkContext.broadcast(learned)
     added = "lang_pred string, score double, cross_entropy double, accepted boolean"
     names = [x.split()[0] for x in added.split(", ")]
     taken = [c for c in carry or docs.columns if c not in names]
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            best, confidence, entropy, accepted = score(batch.column("_text").to_pylist(), model.value)
-            columns = [batch.column(c) for c in taken]
-            columns += [pa.array(best, pa.string()), pa.array(confidence), pa.array(entropy, from_pandas=True), pa.array(accepted)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*taken, *names])
+    def predict(batch: pa.RecordBatch) -> list[pa.Array]:
+        best, confidence, entropy, accepted, _ = score(batch.column(0).to_pylist(), model.value)
+        return [pa.array(best, pa.string()), pa.array(confidence), pa.array(entropy, from_pandas=True), pa.array(accepted)]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*taken).schema)
-    return docs.select(*taken, F.col(text).cast("string").alias("_text")).mapInArrow(predict, f"{fields}, {added}" if fields else added)
+    return common.mapped(docs, taken, [F.col(f"`{text}`").cast("string")], predict, added)
 
 
 def held_out(key: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:

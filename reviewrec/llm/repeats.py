@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import common
-from .common import U64, Prefix, mix, signed
+from .common import U64, Prefix, Scratch, mix, signed
 
 DEPTH = 2
 SEGMENT = 1 << 16
@@ -277,6 +277,31 @@ def judged(rows: DataFrame, by_doc: bool) -> DataFrame:
 # -- the three scans -------------------------------------------------------------------------------
 
 
+def radix_groups(data: np.ndarray, start: np.ndarray, bucket: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of data (bytes) in most-significant-digit order through `width` bytes: (suffixes that have an equal, group of each), ordered.
+
+    A digit is eight bytes. Each pass orders the suffixes of a group by their next digit and goes on with those only that still
+    have company, so a suffix takes part as far as it agrees with another. What is left after the last digit are exactly the repeated windows.
+    """
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = 8 if width >= 8 else 1
+    digits = np.lib.stride_tricks.sliding_window_view(data, size)
+    alive, group = np.arange(len(start)), bucket.astype(np.int64)
+    for at in [*range(0, width - size, size), width - size]:
+        digit = np.ascontiguousarray(digits[start[alive] + at]).view(">u8" if size == 8 else np.uint8).ravel().astype(U64)
+        order = np.lexsort((digit, group))
+        alive, group, digit = alive[order], group[order], digit[order]
+        new = np.ones(len(alive), bool)
+        new[1:] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
+        number = np.cumsum(new) - 1
+        keep = np.bincount(number)[number] > 1
+        alive, group = alive[keep], number[keep]
+        if not len(alive):
+            break
+    return alive, group
+
+
 def repeated_stretches(docs: DataFrame, tokens: Tokens, total: float, width: int, gram: int, by_doc: bool) -> DataFrame:
     """(doc, at, n): window starts at .. at + n - 1 of document doc are repeated windows.
 
@@ -307,11 +332,12 @@ def repeated_stretches(docs: DataFrame, tokens: Tokens, total: float, width: int
 
         return settled(parts(), by_doc)
 
-    by_run = common.written(docs.mapInArrow(runs_again, RUN), "runs")
+    scratch = Scratch(spark)
+    by_run = scratch.written(docs.mapInArrow(runs_again, RUN), "runs")
     bits.destroy()
 
     sent = by_run.where(~F.col("settled")).groupBy("key0").agg(F.min("key1").alias("lo"), F.max("key1").alias("hi"), F.count("*").alias("rows"))
-    varied = common.written(sent.where("lo <> hi").select("key0", "rows"), "varied")
+    varied = scratch.written(sent.where("lo <> hi").select("key0", "rows"), "varied")
     size = varied.agg(F.count("*").alias("keys"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.max("rows"), F.lit(0)).alias("most")).first()
     cells_varied = sketch_width(size["keys"])
     share = max(LARGE, size["rows"] // common.shuffle_partitions(spark))
@@ -386,6 +412,17 @@ def repeated_stretches(docs: DataFrame, tokens: Tokens, total: float, width: int
         if item.itemsize > 1:
             data, bounds = np.frombuffer(data.tobytes(), item), bounds // item.itemsize
         doc, at, n, seen = (table.column(c).to_numpy() for c in ("doc", "at", "n", "seen"))
+        if item.itemsize == 1:
+            key = table.column("key0").to_numpy()
+            bucket = np.cumsum(np.append(True, key[1:] != key[:-1]))
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            alive, group = radix_groups(data, np.repeat(bounds[:-1], n) + step, np.repeat(bucket, n), width)
+            if len(alive):
+                doc, at = np.repeat(doc, n)[alive], (np.repeat(at, n) + step)[alive]
+                least = np.minimum.reduceat(doc, np.flatnonzero(np.append(True, group[1:] != group[:-1])))
+                gone = doc > np.repeat(least, np.bincount(group)[np.unique(group)])
+                yield from stretches(doc[gone], at[gone])
+            return
         for batch in settle(*windows(hashed(data), bounds[:-1], n, doc, at, seen, width), by_doc):
             if batch.column("settled")[0].as_py():
                 yield batch.select(["doc", "at", "n"])
@@ -394,8 +431,13 @@ def repeated_stretches(docs: DataFrame, tokens: Tokens, total: float, width: int
     small = docs.mapInArrow(contents, CONTENT).repartition(common.shuffle_partitions(spark), "key0").sortWithinPartitions("key0").mapInArrow(meet, "doc long, at long, n long")
     found = judged(by_run, by_doc).unionByName(small)
     if size["most"] > share:
-        found = found.unionByName(judged(common.written(docs.mapInArrow(single_windows, RUN), "windows"), by_doc))
-    return common.written(found, "stretches")
+        found = found.unionByName(judged(scratch.written(docs.mapInArrow(single_windows, RUN), "windows"), by_doc))
+    out = scratch.written(found, "stretches")
+    varied_bits.destroy()
+    large_bits.destroy()
+    scratch.keep(out)
+    with scratch:
+        return out
 
 
 def windows(tokens: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.ndarray, at: np.ndarray, seen: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
@@ -406,6 +448,17 @@ def windows(tokens: np.ndarray, start: np.ndarray, n: np.ndarray, doc: np.ndarra
     return one.spans(first, first + width), two.spans(first, first + width), np.repeat(doc, n), np.repeat(at, n) + step, np.ones(len(first), np.int64), np.repeat(seen, n)
 
 
+def stretches(doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(doc, at, n) of single windows, neighbours as one."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1))) if len(doc) else np.zeros(0, np.int64)
+    n = (at[np.append(first[1:], len(at)) - 1] - at[first] + 1) if len(doc) else at
+    for lo in range(0, len(first), 50_000):
+        x = slice(lo, lo + 50_000)
+        yield pa.record_batch({"doc": pa.array(doc[first[x]]), "at": pa.array(at[first[x]]), "n": pa.array(n[x])})
+
+
 def as_mask(size: int, spans: list, width: int) -> np.ndarray:
     """Which of size tokens the windows of some stretches cover."""
     edge = np.zeros(size + 1, np.int64)
@@ -417,10 +470,15 @@ def as_mask(size: int, spans: list, width: int) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame, key: str, text: str, stretches: DataFrame) -> DataFrame:
-    """docs with the array `spans` of (start, number of windows); null where nothing is repeated."""
-    spans = stretches.groupBy("doc").agg(F.collect_list(F.array("at", "n")).alias("_spans"))
-    return docs.join(spans.withColumnRenamed("doc", "_doc"), F.col(key) == F.col("_doc"), "left").drop("_doc")
+    """docs, and last the text and the array of (start, number of windows), null where nothing is repeated, under names that docs doesn't have."""
+    spans = stretches.groupBy("doc").agg(F.collect_list(F.array("at", "n")).alias("spans"))
+    rows = docs.select(F.struct(*common.columns(docs.columns)).alias("row"), F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    joined = rows.join(spans, rows.id == spans.doc, "left")
+    have = {c.lower() for c in docs.columns}
+    free = lambda name: name if name not in have else free("_" + name)
+    return joined.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns), F.col("text").alias(free("whole_text")), F.col("spans").alias(free("repeated_spans")))
 
 
 def ids_and_text(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast(T.LongType()).alias("id"), F.col(text).cast("string").alias("text"))
+    plain = docs.select(F.col(f"`{key}`").cast(T.LongType()).alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return plain.where("id is not null and text is not null")

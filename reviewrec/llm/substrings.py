@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +19,12 @@ WORDS, WORD_GRAM = 35, 10
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = BYTES, gram: int = BYTE_GRAM, carry: list[str] | None = None) -> DataFrame:
     """Finds every byte that lies in a string of `width` bytes which also starts in a document with a smaller key.
 
-    No suffixes are sorted: windows are grouped by hash, through `width` bytes only. A window's anchor is the least `gram`
-    bytes inside it, and its place; neighbouring windows that share it are carried as one run. Pass 1 drops anchors that
-    occur once (by the two-row sketch of `repeats`). Pass 2 groups the other runs by all their bytes. Pass 3 groups single
-    windows, where one anchor has unlike continuations. Equal groups after it are exactly the repeated strings.
+    A depth-limited most-significant-digit radix sort of suffixes, through `width` bytes. Its first digit is the anchor, the least
+    `gram` bytes inside a window, and its place; neighbouring windows that share it travel as one run. Pass 1 counts
+    anchors (the two-row sketch of `repeats`) and drops those that occur once. Pass 2 merges runs of equal bytes, found by a hash. Pass 3
+    orders the windows of each anchor that still has unlike runs by digits of eight bytes, and goes on with groups of two
+    and more only; the windows of an anchor beyond an average partition's rows are grouped by a 128-bit hash instead. Equal
+    groups after the last digit are exactly the repeated strings.
 
     Returns docs' columns (those in `carry`, if given; columns of docs with an output's name give way) plus `cut`: array of (start, end) byte ranges, ascending and apart; `n_bytes`, `n_removed`,
     `kept` (binary, the rest). Null text counts as empty. Texts shorter than `width` lose nothing. A null key
@@ -38,29 +38,25 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     found = repeats.repeated_stretches(plain, repeats.byte_tokens, total, width, gram, by_doc=True)
     joined = repeats.with_spans(docs, key, text, found)
     taken = [c for c in carry or docs.columns if c not in ("cut", "n_bytes", "n_removed", "kept")]
-    joined = joined.select(*taken, F.col(text).cast("string").alias("_text"), "_spans")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ranges, sizes, removed, kept = [], [], [], []
-            for t, spans in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-                raw = (t or "").encode()
-                sizes.append(len(raw))
-                if not spans or not raw:
-                    ranges.append([])
-                    removed.append(0)
-                    kept.append(raw)
-                    continue
-                mask = repeats.as_mask(len(raw), spans, width)
-                edge = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-                ranges.append(edge.tolist())
-                removed.append(int(mask.sum()))
-                kept.append(np.frombuffer(raw, np.uint8)[~mask].tobytes())
-            columns = [batch.column(c) for c in taken]
-            columns += [pa.array(ranges, pa.list_(pa.list_(pa.int64()))), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*taken, "cut", "n_bytes", "n_removed", "kept"])
-
-    return joined.mapInArrow(cut, f"{_schema(joined, taken)}, cut array<array<long>>, n_bytes long, n_removed long, kept binary")
+
+    def cut(batch: pa.RecordBatch) -> list[pa.Array]:
+        ranges, sizes, removed, kept = [], [], [], []
+        for t, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            raw = (t or "").encode()
+            sizes.append(len(raw))
+            if not spans or not raw:
+                ranges.append([])
+                removed.append(0)
+                kept.append(raw)
+                continue
+            mask = repeats.as_mask(len(raw), spans, width)
+            edge = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+            ranges.append(edge.tolist())
+            removed.append(int(mask.sum()))
+            kept.append(np.frombuffer(raw, np.uint8)[~mask].tobytes())
+        return [pa.array(ranges, pa.list_(pa.list_(pa.int64()))), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())]
+
+    return common.mapped(joined, taken, common.columns(joined.columns[-2:]), cut, "cut array<array<long>>, n_bytes long, n_removed long, kept binary")
 
 
 def window_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WORDS, gram: int = WORD_GRAM, carry: list[str] | None = None) -> DataFrame:
@@ -81,30 +77,22 @@ def window_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     found = repeats.repeated_stretches(plain, repeats.word_tokens, total, width, gram, by_doc=False)
     joined = repeats.with_spans(docs, key, text, found)
     taken = [c for c in carry or docs.columns if c not in ("n_words", "n_removed", "kept")]
-    joined = joined.select(*taken, F.col(text).cast("string").alias("_text"), "_spans")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, removed, kept = [], [], []
-            for t, spans in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-                words = (t or "").encode().split()
-                sizes.append(len(words))
-                gone = 0
-                if spans and words:
-                    mask = repeats.as_mask(len(words), spans, width)
-                    gone = int(mask.sum())
-                    words = [words[i] for i in np.flatnonzero(~mask)]
-                removed.append(gone)
-                kept.append(b" ".join(words).decode())
-            columns = [batch.column(c) for c in taken]
-            columns += [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*taken, "n_words", "n_removed", "kept"])
-
-    return joined.mapInArrow(cut, f"{_schema(joined, taken)}, n_words long, n_removed long, kept string")
-
-
-def _schema(df: DataFrame, names: list[str]) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names)
+
+    def cut(batch: pa.RecordBatch) -> list[pa.Array]:
+        sizes, removed, kept = [], [], []
+        for t, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = (t or "").encode().split()
+            sizes.append(len(words))
+            gone = 0
+            if spans and words:
+                mask = repeats.as_mask(len(words), spans, width)
+                gone = int(mask.sum())
+                words = [words[i] for i in np.flatnonzero(~mask)]
+            removed.append(gone)
+            kept.append(b" ".join(words).decode())
+        return [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+
+    return common.mapped(joined, taken, common.columns(joined.columns[-2:]), cut, "n_words long, n_removed long, kept string")
 
 
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

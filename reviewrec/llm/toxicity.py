@@ -70,13 +70,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, mos
 
     Features are made where the texts are; one task then runs the sequential descent over the bounded sample.
     """
-    marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
-    sample = marked.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(most)
-    rows = docs.select(F.col(key), F.col(text).cast("string").alias("_text")).join(F.broadcast(sample), key)
+    marked = labels.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
+    sample = marked.orderBy(F.xxhash64("id"), "id").limit(most)
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(sample), "id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = common.utf8(batch.column("_text"))
+            data, bounds = common.utf8(batch.column("text"))
             found: list[bytes] = []
             for i, j in common.slices(bounds):
                 x, doc = features(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
@@ -84,8 +84,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, mos
                 cut = np.searchsorted(pairs >> BITS, np.arange(j - i + 1))
                 low = (pairs & ((1 << BITS) - 1)).astype(np.int32)
                 found += [np.append(np.int32(0), low[cut[k] : cut[k + 1]]).tobytes() for k in range(j - i)]
-            order = common.mix(batch.column(key).cast(pa.int64()).to_numpy().view(U64)).view(np.int64)
-            yield pa.record_batch({"at": pa.array(order), "y": batch.column("_y"), "x": pa.array(found, pa.binary())})
+            order = common.mix(batch.column("id").to_numpy().view(U64)).view(np.int64)
+            yield pa.record_batch({"at": pa.array(order), "y": batch.column("y"), "x": pa.array(found, pa.binary())})
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(np.frombuffer(x, np.int32), y) for b in batches for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
@@ -128,13 +128,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     weights = spark.sparkContext.broadcast(fit(docs, labels, key, text, label))
     taken = [c for c in carry or docs.columns if c not in ("score", "predicted")]
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = score(batch.column("_text"), weights.value)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in taken), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*taken, "score", "predicted"])
+    def predict(batch: pa.RecordBatch) -> list[pa.Array]:
+        p = score(batch.column(0), weights.value)
+        return [pa.array(p), pa.array((p >= threshold).astype(np.int32))]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*taken).schema)
-    return docs.select(*taken, F.col(text).cast("string").alias("_text")).mapInArrow(predict, f"{fields}, score double, predicted int")
+    return common.mapped(docs, taken, [F.col(f"`{text}`").cast("string")], predict, "score double, predicted int")
 
 
 def held_out(key: str = "doc_id") -> Column:

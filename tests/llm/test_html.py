@@ -16,7 +16,11 @@ def expected(page):
 def test_leaves():
     page = "<html><head><title>no</title></head><body><!-- x --><p>a <b>b</b>c<br>d<p>e&amp;f &nbsp; g<script>var t='</p>'</script><ul><li>one<li>two</ul>tail &lt;x&gt;"
     assert [x.text for x in html.leaves(page)] == ["a bc d", "e&f g", "one", "two", "tail <x>"]
-    assert [x.path for x in html.leaves(page)][3] == ("html", "body", "ul", "li")
+    want = [0] * html.PATH
+    for tag in ("html", "body", "ul", "li"):
+        for at, sign in html.votes(tag):
+            want[at] += sign
+    assert html.leaves(page)[3].path.tolist() == want
     assert html.leaves("") == [] and html.leaves("<div><p></p></div><!-- never closed") == []
     assert [x.text for x in html.leaves('a < b <c d="x>y">z</c>')] == ["a < b z"]
 
@@ -67,3 +71,15 @@ def test_edges(spark):
     by = {r.page_id: r.text for r in got}
     assert len(got) == 6 and by[1] == "" and by[2] == "" and by[3] == "" and by[4].count("\n") == 2999
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    deep = html.leaves("<div>" * 100_000 + "x" + "</div>" * 100_000)
+    open_ = html.leaves("".join(f"<div class=c{'abcdefghij'[k % 10]}>x{k}" for k in range(50_000)))
+    html.leaves("</p></span>" * 50_000 + "<p>y")
+    html.leaves("<a <a <b " * 100_000)
+    html.leaves("<head>" * 20_000 + "text")
+    assert [x.text for x in deep] == ["x"] and len(open_) == 50_000 and time.time() - began < 30
