@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WEIGHTS = {"satisfaction": 0.4, "popularity": 0.2, "hotness": 0.2, "price_score": 0.1, "recency": 0.1}
+#: Fixed values.
+WEIGHTS = {"satisfaction": 0.4, "recency": 0.2, "popularity": 0.2, "hotness": 0.1, "price_score": 0.1}
 
 
 def product_features(reviews: DataFrame) -> DataFrame:

@@ -16,14 +16,23 @@ def center_ratings(cells: DataFrame, mode: str = "all_items") -> DataFrame:
     return cells.join(means, "user_id").select("user_id", "item_id", (F.col("value") - F.col("_sum") / F.col("_n")).alias("value"))
 
 
+#: Items of one user that meet in a task.
+BLOCK = 2000
+
+
 def item_similarity(centred: DataFrame) -> DataFrame:
     """(item_id, neighbor_id, sim), both directions: cosine of items that a user rated both.
 
-    A user's items are paired once (smaller id first), so the shuffle carries half of the pairs; sums combine before it.
+    A user's items are paired once (smaller id first), so the shuffle carries half of the pairs; sums combine before it. The items of a
+    user with many fall into blocks of about BLOCK, and pairs of blocks meet in tasks of their own.
     """
     norms = centred.groupBy("item_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")).where("norm > 0")
-    a, b = centred.toDF("user_id", "i", "vi"), centred.toDF("user_id", "j", "vj")
-    dots = a.join(b, "user_id").where("i < j").groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("dot"))
+    blocks = centred.groupBy("user_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    dealt = centred.join(blocks, "user_id").withColumn("_own", F.pmod(F.xxhash64("item_id"), "_blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    a = dealt.select("user_id", F.col("_own").alias("_a"), every.alias("_b"), F.col("item_id").alias("i"), F.col("value").alias("vi"))
+    b = dealt.select("user_id", every.alias("_a"), F.col("_own").alias("_b"), F.col("item_id").alias("j"), F.col("value").alias("vj"))
+    dots = a.join(b, ["user_id", "_a", "_b"]).where("i < j").groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("dot"))
     sims = dots.join(norms.toDF("i", "ni"), "i").join(norms.toDF("j", "nj"), "j").select("i", "j", (F.col("dot") / (F.col("ni") * F.col("nj"))).alias("sim"))
     return sims.select(F.explode(F.array(F.struct(F.col("i").alias("item_id"), F.col("j").alias("neighbor_id"), "sim"), F.struct(F.col("j").alias("item_id"), F.col("i").alias("neighbor_id"), "sim"))).alias("e")).select("e.*")
 

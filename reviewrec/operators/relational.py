@@ -59,9 +59,12 @@ def active_users(interactions: DataFrame, least: int = 5) -> DataFrame:
 
 def threshold_or_top(df: DataFrame, score: str, threshold: float, least: int, by: str, tie: str) -> DataFrame:
     """Rows of a score at or over the threshold if a group has at least so many; else the group's best so many."""
-    group = Window.partitionBy(by)
-    ranked = df.withColumn("_hits", F.count_if(F.col(score) >= threshold).over(group)).withColumn("_at", F.row_number().over(group.orderBy(F.desc(score), tie)))
-    return ranked.where(((F.col("_hits") >= least) & (F.col(score) >= threshold)) | ((F.col("_hits") < least) & (F.col("_at") <= least))).drop("_hits", "_at")
+    hits = df.groupBy(by).agg(F.count_if(F.col(score) >= threshold).alias("_hits"))
+    counted = df.join(hits, by)
+    many = counted.where((F.col("_hits") >= least) & (F.col(score) >= threshold)).drop("_hits")
+    # tasks keep the best so many of a group before the shuffle
+    few = top_k_per(counted.where(F.col("_hits") < least).drop("_hits"), by, score, least, tie).drop("rank")
+    return many.unionByName(few)
 
 
 def sample_keys(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -95,7 +98,8 @@ def common_users(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def except_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    return a.select(key).exceptAll(b.select(key))
+    """The different keys of a that b doesn't have."""
+    return a.select(key).subtract(b.select(key))
 
 
 def distinct_keys(df: DataFrame, names: list[str]) -> DataFrame:
@@ -132,8 +136,7 @@ def minmax(df: DataFrame, column: str, by: str | None = None, out: str | None =
         edges = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
         wide = df.crossJoin(F.broadcast(edges))
     else:
-        group = Window.partitionBy(by)
-        wide = df.withColumn("_lo", F.min(column).over(group)).withColumn("_hi", F.max(column).over(group))
+        wide = df.join(df.groupBy(by).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi")), by)
     return wide.withColumn(out or column, (F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9)).drop("_lo", "_hi")
 
 
@@ -146,8 +149,8 @@ def winner(df: DataFrame, name: str, metric: str, highest: bool = True) -> DataF
 
 
 def leave_last_out(interactions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(train, test): each user's last interaction is the test row; ties by item and rating."""
-    last = Window.partitionBy("user_id").orderBy(F.desc("timestamp"), "item_id", "rating")
+    """(train, test): each user's last interaction is the test row; of equal times the greatest item, then rating."""
+    last = Window.partitionBy("user_id").orderBy(F.desc("timestamp"), F.desc("item_id"), F.desc("rating"))
     ranked = interactions.withColumn("_at", F.row_number().over(last))
     return ranked.where("_at > 1").drop("_at"), ranked.where("_at = 1").drop("_at")
 
@@ -164,15 +167,20 @@ def user_history(train: DataFrame) -> DataFrame:
     return items.withColumn("seed_item", F.element_at("items", -1))
 
 
-def build_id_map(df: DataFrame, key: str) -> DataFrame:
-    """(id, idx): 0, 1, .. in the order of the ids. Ranges of ids are numbered apart, so no task holds all of them."""
+def build_id_map(df: DataFrame, key: str, ranges: int = 1000) -> DataFrame:
+    """(id, idx): 0, 1, .. in the order of the ids. Ranges of ids are numbered apart, so no task holds all of them.
+
+    Ids fall into ranges by fixed bounds, quantiles of their order, so numbering a range again after a lost task gives the same numbers.
+    """
     ids = df.select(F.col(key).alias("id")).where("id is not null").distinct()
-    parts = ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("_part", F.spark_partition_id())
-    numbered = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("id")))
-    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_size"))
-    # a row a partition: its offset is the size of those before it
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._size"), F.lit(0)).alias("_before"))
-    return numbered.join(before, "_part").select("id", (F.col("_before") + F.col("_n") - 1).alias("idx"))
+    # bounds: the least ids of a sample by hash, evenly apart
+    some = ids.orderBy(F.xxhash64("id"), "id").limit(ranges).agg(F.sort_array(F.collect_list("id")).alias("bounds"))
+    ranged = ids.crossJoin(F.broadcast(some)).select("id", F.size(F.filter("bounds", lambda b: b <= F.col("id"))).alias("range"))
+    numbered = ranged.withColumn("n", F.row_number().over(Window.partitionBy("range").orderBy("id")))
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("size"))
+    # a row a range, so at most one more than there are bounds
+    before = sizes.select("range", (F.sum("size").over(Window.orderBy("range")) - F.col("size")).alias("before"))
+    return numbered.join(F.broadcast(before), "range").select("id", (F.col("before") + F.col("n") - 1).alias("idx"))
 
 
 def encode_ids(interactions: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 
 from reviewrec.functions.columns import added, band, dot, repeat_text, scaled, unit, words
 
-from .relational import item_ratings, minmax, threshold_or_top, top_k_per
+from .relational import item_ratings, minmax, threshold_or_top
+from .vectors import top_products
 
 
 def embed_text(df: DataFrame, text: str, size: int = 32, seed: int = 42, encoder: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -140,6 +141,5 @@ def user_profiles(reviews: DataFrame, text: str, order: list, users: int = 50, e
 def similar_items(vectors: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:
     """(seed_item, rank, item_id, score): cosine, the seed left out; an unknown seed has none."""
     units = vectors.select("item_id", unit("vector").alias("vector"))
-    q = seeds.select("seed_item").distinct().join(units, F.col("seed_item") == F.col("item_id")).select("seed_item", F.col("vector").alias("q"))
-    pairs = units.join(q, F.col("item_id") != F.col("seed_item")).select("seed_item", "item_id", F.round(dot("q", "vector"), 6).alias("score"))
-    return top_k_per(pairs, "seed_item", "score", k).withColumn("source", F.lit("semantic"))
+    q = seeds.select("seed_item").distinct().join(units, F.col("seed_item") == F.col("item_id")).select(F.col("seed_item").alias("query"), "vector")
+    return top_products(units, q, k).select(F.col("query").alias("seed_item"), "rank", "item_id", "score", F.lit("semantic").alias("source"))

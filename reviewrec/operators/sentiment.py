@@ -34,10 +34,16 @@ def tfidf(df: DataFrame, key: str, text: str, max_features: int = 15_000) -> Dat
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, test): of each label the first share of its rows by a seeded hash of the key."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    ranked = df.withColumn("_p", F.percent_rank().over(order))
-    return ranked.where(F.col("_p") >= share).drop("_p"), ranked.where(F.col("_p") < share).drop("_p")
+    """(train, test): of each label the first share of its rows by a seeded hash of the key, exactly. Rows are ranked within 1000 ranges of
+    the hash, so no task holds a label."""
+    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_range", F.shiftrightunsigned(F.col("_h").bitwiseXOR(F.lit(-(1 << 63))), 54))
+    sizes = hashed.groupBy(label, "_range").agg(F.count("*").alias("_size"))
+    of_label = Window.partitionBy(label)
+    before = sizes.select(F.col(label).alias("_label"), F.col("_range").alias("_r"), (F.sum("_size").over(of_label.orderBy("_range")) - F.col("_size")).alias("_before"), F.sum("_size").over(of_label).alias("_all"))
+    ranked = hashed.withColumn("_at", F.row_number().over(Window.partitionBy(label, "_range").orderBy("_h", key)))
+    placed = ranked.join(F.broadcast(before), F.col(label).eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_r")))
+    first = F.col("_before") + F.col("_at") - 1 < share * F.greatest(F.col("_all") - 1, F.lit(1))
+    return placed.where(~first).select(*df.columns), placed.where(first).select(*df.columns)
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:

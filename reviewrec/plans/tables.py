@@ -221,9 +221,11 @@ def join3(v: Views):
     return R.lookup(v.interactions().select("item_id", "user_id"), v.metadata().where("store LIKE '%2'"), "item_id", {"title": "", "price": 0.0})
 
 
-@query("join4_exclude_seen", "SELECT c.c_custkey::VARCHAR AS user_id, p.p_partkey::VARCHAR AS item_id FROM customer c JOIN part p ON p_partkey % 100 = c_custkey % 100 ANTI JOIN interactions i ON i.user_id = c.c_custkey::VARCHAR AND i.item_id = p.p_partkey::VARCHAR")
+@query("join4_exclude_seen", "made AS (SELECT c_custkey::VARCHAR AS user_id, item_id FROM customer, (SELECT item_id FROM interactions GROUP BY 1 ORDER BY count(*) DESC, item_id LIMIT 20)) SELECT user_id, item_id FROM made ANTI JOIN interactions USING (user_id, item_id)")
 def join4(v: Views):
-    made = v.table("customer").join(v.table("part"), F.col("p_partkey") % 100 == F.col("c_custkey") % 100).select(F.col("c_custkey").cast("string").alias("user_id"), F.col("p_partkey").cast("string").alias("item_id"))
+    """The 20 most frequent items for every user, without what the user has."""
+    best = R.top_groups(v.interactions(), "item_id", 20).select("item_id")
+    made = v.table("customer").select(F.col("c_custkey").cast("string").alias("user_id")).crossJoin(F.broadcast(best))
     return R.exclude_seen(made, v.interactions())
 
 
@@ -251,9 +253,9 @@ def set3(v: Views):
     return R.common_users(v.interactions().where("rating = 5"), v.interactions().where("rating = 1"))
 
 
-@query("set4_except", "SELECT p_partkey::VARCHAR AS item_id FROM part EXCEPT ALL SELECT DISTINCT item_id FROM interactions WHERE rating > 3")
+@query("set4_except", "SELECT item_id FROM interactions EXCEPT SELECT item_id FROM reviews WHERE rating = 5 AND helpful_vote = 7")
 def set4(v: Views):
-    return R.except_keys(v.metadata(), v.interactions().where("rating > 3").select("item_id").distinct(), "item_id")
+    return R.except_keys(v.interactions(), v.reviews().where("rating = 5 and helpful_vote = 7"), "item_id")
 
 
 @query("set5_distinct", "SELECT DISTINCT user_id, item_id FROM interactions")
@@ -327,7 +329,7 @@ def agg13(v: Views):
     return R.first_non_null(o, "o_custkey", "o_orderkey")
 
 
-_LAST = "split AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, item_id, rating) AS pos FROM interactions), train AS (SELECT user_id, item_id, rating, timestamp FROM split WHERE pos > 1), test AS (SELECT user_id, item_id, rating, timestamp FROM split WHERE pos = 1)"
+_LAST = "split AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, item_id DESC, rating DESC) AS pos FROM interactions), train AS (SELECT user_id, item_id, rating, timestamp FROM split WHERE pos > 1), test AS (SELECT user_id, item_id, rating, timestamp FROM split WHERE pos = 1)"
 
 
 @query("agg14_truth_sets", "SELECT user_id, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS items FROM interactions WHERE rating = 5 GROUP BY 1")
@@ -354,9 +356,9 @@ def agg18(v: Views):
     return R.avg_words(v.docs(), "text").select(F.round("avg_words", 6).alias("avg_words"))
 
 
-@query("agg19_term_counts", r"SELECT term, count(*)::BIGINT AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS term FROM docs WHERE lang = 'en') GROUP BY 1")
+@query("agg19_term_counts", r"SELECT term, count(*)::BIGINT AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS term FROM docs WHERE source = 'src0') GROUP BY 1")
 def agg19(v: Views):
-    return R.term_counts(v.docs().where("lang = 'en'"), "text")
+    return R.term_counts(v.docs().where("source = 'src0'"), "text")
 
 
 @query("agg20_crosstab", f"SELECT rating, label, count(*)::BIGINT AS n FROM (SELECT rating, {_LABEL} AS label FROM interactions) GROUP BY ALL")

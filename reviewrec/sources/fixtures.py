@@ -49,10 +49,11 @@ class Views:
         return self.table("lineitem").join(self.table("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("key"), F.col("p_name").alias("item"))
 
     def review_vectors(self) -> DataFrame:
-        return self.table("embeddings").select("vec_id", (F.col("vec_id") % 200).cast("string").alias("item_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+        """Three and two vectors an item in turn."""
+        return self.table("embeddings").select("vec_id", F.expr("vec_id * 2 div 5").cast("string").alias("item_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
 
     def meta_vectors(self) -> DataFrame:
-        return self.table("embeddings").where("vec_id < 200").select(F.col("vec_id").cast("string").alias("item_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+        return self.table("embeddings").select(F.col("vec_id").cast("string").alias("item_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
 
     def docs(self) -> DataFrame:
         return self.table("documents").select(F.col("doc_id").cast("string").alias("item_id"), "text", "lang", "source", "n_chars")
@@ -77,9 +78,9 @@ WITH interactions AS (
 ), order_names AS (
   SELECT l_orderkey AS key, p_name AS item FROM lineitem JOIN part ON l_partkey = p_partkey
 ), review_vectors AS (
-  SELECT vec_id, (vec_id % 200)::VARCHAR AS item_id, embedding::DOUBLE[] AS vector FROM embeddings
+  SELECT vec_id, (vec_id * 2 // 5)::VARCHAR AS item_id, embedding::DOUBLE[] AS vector FROM embeddings
 ), meta_vectors AS (
-  SELECT vec_id::VARCHAR AS item_id, embedding::DOUBLE[] AS vector FROM embeddings WHERE vec_id < 200
+  SELECT vec_id::VARCHAR AS item_id, embedding::DOUBLE[] AS vector FROM embeddings
 ), docs AS (
   SELECT doc_id::VARCHAR AS item_id, text, lang, source, n_chars FROM documents
 ), search_queries AS (

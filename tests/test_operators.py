@@ -116,12 +116,73 @@ def test_als_leaves_out_seen_items(spark):
     assert got.join(seen, ["user_id", "item_id"]).isEmpty() and got.where("rank > 5").isEmpty() and got.count() == 100
 
 
-def test_history_model_beats_nothing(spark):
-    rows_ = [(u, i, 1.0 + 4.0 * ((u % 2) == (i % 2))) for u in range(12) for i in range(12)]
-    train = spark.createDataFrame(rows_, "user_idx int, item_idx int, rating double")
-    model, make = factors.fit_mf(train, 12, 12, factors=4, iterations=60)
-    got = factors.rmse(model.transform(train.select("rating", make("user_idx", "item_idx").alias("features")))).first().rmse
-    assert got < 2.0
+def test_factor_models_beat_the_mean(spark):
+    """On held-out cells of a block pattern, both models come well under the error of the mean, 2."""
+    cells = [(u, i, 1.0 + 4.0 * ((u % 2) == (i % 2))) for u in range(16) for i in range(16)]
+    frame = lambda held: spark.createDataFrame([c for c in cells if ((3 * c[0] + 5 * c[1]) % 7 == 0) == held], "user_idx int, item_idx int, rating double")
+    train, test = frame(False), frame(True)
+    for fit in (factors.fit_mf, factors.fit_svdpp):
+        got = factors.rmse(fit(train, factors=4, iterations=150)(test)).first().rmse
+        assert got < 1.6, (fit, got)
+    # an unknown user is no error
+    assert factors.fit_mf(train, factors=2, iterations=5)(spark.createDataFrame([(99, 3)], "user_idx int, item_idx int")).count() == 1
+
+
+def test_neural_scores_follow_ratings(spark):
+    cells = [(u, i, 1.0 + 4.0 * ((u % 2) == (i % 2))) for u in range(12) for i in range(12)]
+    train = spark.createDataFrame(cells, "user_idx int, item_idx int, rating double")
+    tables = factors.factor_tables(factors.fit_als(train.where("rating = 5").withColumn("confidence", (F.col("rating") / 5).cast("float")), 4, 5))
+    scored = factors.neural_scores(factors.fit_neural_rerank(train, *tables, 4, iterations=60), train, *tables)
+    means = {r.rating: r.m for r in scored.groupBy("rating").agg(F.avg("score").alias("m")).collect()}
+    assert means[5.0] > means[1.0] + 1
+
+
+def test_content_weights_by_hand(spark):
+    """0.4 satisfaction, 0.2 recency, 0.2 popularity, 0.1 hotness, 0.1 price score."""
+    rows = [("a", 5.0, 3, 7, 2, "2020-01-11", 10.0, "x"), ("b", 2.0, 1, 0, 0, "2020-01-01", 30.0, "x"), ("c", 4.0, 8, 1, 8, "2020-01-06", 10.0, "x")]
+    f = spark.createDataFrame(rows, "item_id string, rating_mean double, review_count long, helpful_votes long, verified_count long, d string, price_median double, main_category string")
+    got = {r.item_id: r.score for r in content.content_ranking(f.withColumn("last_review_date", F.to_date("d"))).collect()}
+    for name, mean, n, votes, verified, day, price, _ in rows:
+        satisfaction = 0.6 * mean + 0.2 * verified / n + 0.2 * math.log(1 + votes)
+        recency = (int(day[-2:]) - 1) / 10
+        popularity = math.log(1 + n)
+        near = 1 / (1 + abs(price - 10) / 10)
+        assert abs(got[name] - (0.4 * satisfaction + 0.2 * recency + 0.2 * popularity + 0.1 * popularity * recency + 0.1 * near)) < 1e-6
+
+
+def test_difference_of_keys_is_of_sets(spark):
+    a, b = spark.createDataFrame([("x",), ("x",), ("y",), ("z",)], "k string"), spark.createDataFrame([("y",)], "k string")
+    assert rows(R.except_keys(a, b, "k"), "k") == [("x",), ("z",)]
+
+
+def test_block_products_against_all_pairs(spark, monkeypatch):
+    import random
+
+    from reviewrec.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    r = random.Random(1)
+    items = [(f"i{k:02d}", [float(r.randint(-2, 2)) for _ in range(3)]) for k in range(40)]
+    df = spark.createDataFrame([*items, ("none", None)], "item_id string, vector array<double>")
+    got = {(x.query, x["rank"]): (x.item_id, x.score) for x in vectors.top_products(df, df.withColumnRenamed("item_id", "query"), 5).collect()}
+    for q, v in items:
+        best = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in items if i != q))[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+
+
+def test_heavy_users_meet_in_blocks(spark, monkeypatch):
+    cells = spark.createDataFrame([(f"u{u}", f"i{i}", float((u * 7 + i * 3) % 5)) for u in range(3) for i in range(23)], "user_id string, item_id string, value double")
+    want = rows(itemcf.item_similarity(cells).withColumn("sim", F.round("sim", 9)), "item_id", "neighbor_id", "sim")
+    monkeypatch.setattr(itemcf, "BLOCK", 4)
+    assert rows(itemcf.item_similarity(cells).withColumn("sim", F.round("sim", 9)), "item_id", "neighbor_id", "sim") == want
+
+
+def test_personal_order_without_a_profile(spark):
+    results = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.5), (2, "a", 0.2), (2, "b", 0.8)], "query_id int, item_id string, hybrid_score double")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "item_id string, vector array<double>")
+    profiles = spark.createDataFrame([(1, [0.0, 1.0])], "query_id int, profile array<double>")
+    got = rows(search.rerank(results, "personalized", profiles=profiles, vectors=vectors), "query_id", "position", "item_id")
+    assert got == [(1, 1, "b"), (1, 2, "a"), (2, 1, "b"), (2, 2, "a")]
 
 
 def test_split_and_report(spark):
