@@ -118,7 +118,8 @@ def rerank(results: DataFrame, mode: str = "relevance", interactions: DataFrame
         out = close.withColumn("final_score", F.when(F.col("profile").isNull(), F.col("hybrid_score")).otherwise(0.5 * F.col("hybrid_score") + 0.5 * F.col("_close")))
     else:
         raise ValueError(f"unknown mode {mode}")
-    out = out.withColumn("final_score", F.round("final_score", 6))
+    # halves round alike in any engine
+    out = out.withColumn("final_score", F.round(F.col("final_score") + 1e-9, 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "item_id")
     return out.select("query_id", "item_id", "hybrid_score", "final_score", F.row_number().over(order).alias("position"))
 

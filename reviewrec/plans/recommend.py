@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -216,7 +218,8 @@ results AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id O
 
 
 def _vectors(v: Views) -> DataFrame:
-    return S.product_vectors(v.review_vectors(), v.meta_vectors())
+    # written once, as later expressions repeat a vector's own
+    return scratch.written(S.product_vectors(v.review_vectors(), v.meta_vectors()), "vectors")
 
 
 def _query_vectors(v: Views) -> DataFrame:
@@ -272,17 +275,17 @@ def sea7(v: Views):
     return S.rerank(_results(v), "relevance")
 
 
-@query("sea8_rerank_quality", _reranked("SELECT query_id, item_id, hybrid_score, round(0.6 * hybrid_score + 0.4 * (coalesce(avg_rating, 3) - 1) / 4, 6) AS final_score FROM results LEFT JOIN rated USING (item_id)"))
+@query("sea8_rerank_quality", _reranked("SELECT query_id, item_id, hybrid_score, round(1e-9 + 0.6 * hybrid_score + 0.4 * (coalesce(avg_rating, 3) - 1) / 4, 6) AS final_score FROM results LEFT JOIN rated USING (item_id)"))
 def sea8(v: Views):
     return S.rerank(_results(v), "quality", v.interactions())
 
 
-@query("sea9_rerank_trending", _reranked("SELECT query_id, item_id, hybrid_score, round(0.6 * hybrid_score + 0.4 * ln(1 + coalesce(n_reviews, 1)) / max(ln(1 + coalesce(n_reviews, 1))) OVER (PARTITION BY query_id), 6) AS final_score FROM results LEFT JOIN rated USING (item_id)"))
+@query("sea9_rerank_trending", _reranked("SELECT query_id, item_id, hybrid_score, round(1e-9 + 0.6 * hybrid_score + 0.4 * ln(1 + coalesce(n_reviews, 1)) / max(ln(1 + coalesce(n_reviews, 1))) OVER (PARTITION BY query_id), 6) AS final_score FROM results LEFT JOIN rated USING (item_id)"))
 def sea9(v: Views):
     return S.rerank(_results(v), "trending", v.interactions())
 
 
-@query("sea10_rerank_personalized", _reranked("SELECT query_id, item_id, hybrid_score, CASE WHEN p IS NULL THEN hybrid_score ELSE round(0.5 * hybrid_score + 0.5 * (c - min(c) OVER w) / (max(c) OVER w - min(c) OVER w + 1e-9), 6) END AS final_score FROM (SELECT r.*, m.vector AS p, list_dot_product(m.vector, v.vector) / (sqrt(list_dot_product(m.vector, m.vector)) * sqrt(list_dot_product(v.vector, v.vector))) AS c FROM results r LEFT JOIN meta_vectors m ON m.item_id = (r.query_id * 20)::VARCHAR JOIN vecs v ON v.item_id = r.item_id) WINDOW w AS (PARTITION BY query_id)"))
+@query("sea10_rerank_personalized", _reranked("SELECT query_id, item_id, hybrid_score, CASE WHEN p IS NULL THEN hybrid_score ELSE round(1e-9 + 0.5 * hybrid_score + 0.5 * (c - min(c) OVER w) / (max(c) OVER w - min(c) OVER w + 1e-9), 6) END AS final_score FROM (SELECT r.*, m.vector AS p, list_dot_product(m.vector, v.vector) / (sqrt(list_dot_product(m.vector, m.vector)) * sqrt(list_dot_product(v.vector, v.vector))) AS c FROM results r LEFT JOIN meta_vectors m ON m.item_id = (r.query_id * 20)::VARCHAR JOIN vecs v ON v.item_id = r.item_id) WINDOW w AS (PARTITION BY query_id)"))
 def sea10(v: Views):
     vectors = v.meta_vectors().select(F.col("item_id").cast("long").alias("of"), F.col("vector").alias("profile"))
     profiles = v.search_queries().join(vectors, F.col("of") == F.col("query_id") * 20).select("query_id", "profile")
@@ -456,11 +459,10 @@ def eva5(v: Views):
     return evaluate.averaged(rows).withColumn("empty", F.lit("zero")).unionByName(evaluate.averaged(rows, "skip").withColumn("empty", F.lit("skip")))
 
 
-def _systems(v: Views, train: DataFrame, known: DataFrame) -> dict:
-    """The five compared systems, as functions from seeds (user_id, seed_item) to (user_id, rank, item_id).
+def _systems(v: Views, train: DataFrame) -> Callable[[DataFrame], dict]:
+    """From known interactions to the five compared systems, functions from seeds (user_id, seed_item) to (user_id, rank, item_id).
 
-    The factor models learn from train. Item-item filtering, implicit factors and the fusion know the users of known only; two score a
-    sample of 500 items a user.
+    The models learn from train once. Implicit factors and the fusion know the users of known only; two systems score a sample of 500 items a user.
     """
     ids = {c: scratch.written(R.build_id_map(train, c), c) for c in ("user_id", "item_id")}
     coded = scratch.written(R.encode_ids(train, ids["user_id"], ids["item_id"]).select(F.col("user_idx").cast("int").alias("user_idx"), F.col("item_idx").cast("int").alias("item_idx"), "rating"), "coded")
@@ -472,11 +474,13 @@ def _systems(v: Views, train: DataFrame, known: DataFrame) -> dict:
     user = lambda seeds: seeds.join(ids["user_id"].select(F.col("id").alias("user_id"), F.col("idx").cast("int").alias("user_idx")), "user_id")
     item = ids["item_id"].select(F.col("id").alias("item_id"), F.col("idx").cast("int").alias("item_idx"))
 
+    ranking, rules, vectors, counts = scratch.written(_ranking(v), "ranking"), scratch.written(_item_rules(v), "rules"), _vectors(v), scratch.written(R.item_ratings(train), "counts")
+
     def content_only(seeds: DataFrame) -> DataFrame:
-        found = content.recommend_by_content(_ranking(v), seeds, 10)
+        found = content.recommend_by_content(ranking, seeds, 10)
         return seeds.join(found, "seed_item").select("user_id", "rank", "item_id")
 
-    def implicit(seeds: DataFrame) -> DataFrame:
+    def implicit(seeds: DataFrame, known: DataFrame) -> DataFrame:
         asked = user(seeds.join(known.select("user_id").distinct(), "user_id", "left_semi"))
         seen = coded.select(F.col("user_idx").alias("user_id"), F.col("item_idx").alias("item_id"))
         found = factors.recommend_als(als, asked.select(F.col("user_idx").alias("user_id")), seen, 10)
@@ -490,25 +494,26 @@ def _systems(v: Views, train: DataFrame, known: DataFrame) -> dict:
 
         return system
 
-    def fused(seeds: DataFrame) -> DataFrame:
-        models = hybrid.Models(known, _item_rules(v), neighbors, _ranking(v), _vectors(v), v.metadata(), R.item_ratings(train))
+    def fused(seeds: DataFrame, known: DataFrame) -> DataFrame:
+        models = hybrid.Models(known, rules, neighbors, ranking, vectors, v.metadata(), counts)
         return hybrid.batch_recommend(models, seeds.withColumn("top_k", F.lit(10)), 1).select("user_id", "rank", "item_id")
 
     neighbors = scratch.written(itemcf.top_neighbors(itemcf.item_similarity(itemcf.center_ratings(R.rating_cells(train)))), "neighbors")
     by_factors = lambda pairs: mf(pairs).withColumn("score", F.col("prediction").cast("double"))
-    return {"content": content_only, "als": implicit, "mf": of_sample(by_factors), "ncf": of_sample(lambda pairs: factors.neural_scores(ncf, pairs, *tables)), "hybrid": fused}
+    plain = {"content": content_only, "mf": of_sample(by_factors), "ncf": of_sample(lambda pairs: factors.neural_scores(ncf, pairs, *tables))}
+    return lambda known: plain | {"als": lambda seeds: implicit(seeds, known), "hybrid": lambda seeds: fused(seeds, known)}
 
 
-def _board(v: Views, train: DataFrame, known: DataFrame, test: DataFrame, users: int) -> DataFrame:
+def _board(systems: dict, train: DataFrame, test: DataFrame, users: int) -> DataFrame:
     """Users without an answer don't count."""
-    rows = {n: evaluate.evaluate(f, train, test, 10, users=users, empty="skip") for n, f in _systems(v, train, known).items()}
-    return scratch.written(evaluate.compare_systems(rows), "board")
+    rows = {n: evaluate.evaluate(f, train, test, 10, users=users, empty="skip") for n, f in systems.items()}
+    return scratch.written(evaluate.compare_systems(rows), "board").fillna(0.0)
 
 
 @query("eva6_comparison")
 def eva6(v: Views):
     train, test = R.leave_last_out(v.interactions())
-    board = _board(v, train, train, test, 500).fillna(0.0)
+    board = _board(_systems(v, train)(train), train, test, 500)
     return board.select("system", *evaluate.METRICS).unionByName(evaluate.metric_winners(board).groupBy().pivot("metric", list(evaluate.METRICS)).agg(F.first("value")).withColumn("system", F.lit("best")).select("system", *evaluate.METRICS))
 
 
@@ -516,7 +521,8 @@ def eva6(v: Views):
 def eva7(v: Views):
     train, test = R.leave_last_out(v.interactions())
     masked = evaluate.mask_users(train, R.sample_keys(test, "user_id", 100))
-    return evaluate.cold_start_delta(_board(v, train, train, test, 100).fillna(0.0), _board(v, train, masked, test, 100).fillna(0.0))
+    systems = _systems(v, train)
+    return evaluate.cold_start_delta(_board(systems(train), train, test, 100), _board(systems(masked), train, test, 100))
 
 
 @query("eva8_random_split")
