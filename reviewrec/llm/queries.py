@@ -12,6 +12,7 @@ from .langid import op2_language_id
 from .lines import op8_line_dedup
 from .near import op5_near_duplicates
 from .packing import op1_packing
+from .quality import OP13_SQL, op13_quality_rules
 from .substrings import op4_suffix_array, op9_substring
 from .topk import OP6_SQL, op6_exact_topk
 from .toxicity import op7_toxicity
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_substring": op9_substring,
     "op10_decontamination": op10_decontamination,
+    "op13_quality_rules": op13_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_exact_topk": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_exact_topk": OP6_SQL, "op13_quality_rules": OP13_SQL}
