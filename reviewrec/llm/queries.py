@@ -16,6 +16,7 @@ from .quality import OP13_SQL, op13_quality_rules
 from .substrings import op4_suffix_array, op9_substring
 from .topk import OP6_SQL, op6_exact_topk
 from .toxicity import op7_toxicity
+from .trie import OP11_SQL, op11_prefix_trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
@@ -28,7 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_substring": op9_substring,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_quality_rules": op13_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_exact_topk": OP6_SQL, "op13_quality_rules": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_exact_topk": OP6_SQL, "op11_prefix_trie": OP11_SQL, "op13_quality_rules": OP13_SQL}
