@@ -13,6 +13,7 @@ from .lines import op8_line_dedup
 from .near import op5_near_duplicates
 from .packing import op1_packing
 from .quality import OP13_SQL, op13_quality_rules
+from .ranked import OP12_SQL, op12_ranked_search
 from .substrings import op4_suffix_array, op9_substring
 from .topk import OP6_SQL, op6_exact_topk
 from .toxicity import op7_toxicity
@@ -30,7 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring": op9_substring,
     "op10_decontamination": op10_decontamination,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_ranked_search": op12_ranked_search,
     "op13_quality_rules": op13_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_exact_topk": OP6_SQL, "op11_prefix_trie": OP11_SQL, "op13_quality_rules": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_exact_topk": OP6_SQL, "op11_prefix_trie": OP11_SQL, "op12_ranked_search": OP12_SQL, "op13_quality_rules": OP13_SQL}
