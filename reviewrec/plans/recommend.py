@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewrec.operators import baskets as B
-from reviewrec.operators import content, evaluate, experiments, factors, hybrid, itemcf, sentiment
+from reviewrec.operators import content, evaluate, experiments, factors, hybrid, itemcf, latent, sentiment
 from reviewrec.operators import relational as R
 from reviewrec.operators import search as S
 from reviewrec.sources import scratch
@@ -467,9 +467,7 @@ def _systems(v: Views, train: DataFrame) -> Callable[[DataFrame], dict]:
     ids = {c: scratch.written(R.build_id_map(train, c), c) for c in ("user_id", "item_id")}
     coded = scratch.written(R.encode_ids(train, ids["user_id"], ids["item_id"]).select(F.col("user_idx").cast("int").alias("user_idx"), F.col("item_idx").cast("int").alias("item_idx"), "rating"), "coded")
     als = _als(coded)
-    mf = factors.fit_mf(coded)
-    tables = factors.factor_tables(als)
-    ncf = factors.fit_neural_rerank(coded, *tables, als.rank)
+    mf, ncf = latent.fit_mf(coded), latent.fit_neural(coded)
     sample = R.sample_keys(train, "item_id", 500)
     user = lambda seeds: seeds.join(ids["user_id"].select(F.col("id").alias("user_id"), F.col("idx").cast("int").alias("user_idx")), "user_id")
     item = ids["item_id"].select(F.col("id").alias("item_id"), F.col("idx").cast("int").alias("item_idx"))
@@ -499,8 +497,8 @@ def _systems(v: Views, train: DataFrame) -> Callable[[DataFrame], dict]:
         return hybrid.batch_recommend(models, seeds.withColumn("top_k", F.lit(10)), 1).select("user_id", "rank", "item_id")
 
     neighbors = scratch.written(itemcf.top_neighbors(itemcf.item_similarity(itemcf.center_ratings(R.rating_cells(train)))), "neighbors")
-    by_factors = lambda pairs: mf(pairs).withColumn("score", F.col("prediction").cast("double"))
-    plain = {"content": content_only, "mf": of_sample(by_factors), "ncf": of_sample(lambda pairs: factors.neural_scores(ncf, pairs, *tables))}
+    by = lambda model: of_sample(lambda pairs: model(pairs).withColumnRenamed("prediction", "score"))
+    plain = {"content": content_only, "mf": by(mf), "ncf": by(ncf)}
     return lambda known: plain | {"als": lambda seeds: implicit(seeds, known), "hybrid": lambda seeds: fused(seeds, known)}
 
 
@@ -681,21 +679,19 @@ def _errors(train: DataFrame, predicted: DataFrame) -> DataFrame:
 @query("fac4_biased_factors")
 def fac4(v: Views):
     train, test, *_ = _encoded(v)
-    return _errors(train, factors.fit_mf(train)(test))
+    return _errors(train, latent.fit_mf(train)(test))
 
 
 @query("fac5_neural_rerank")
 def fac5(v: Views):
     train, test, *_ = _encoded(v)
-    users, items = factors.factor_tables(_als(train))
-    model = factors.fit_neural_rerank(train, users, items, 64)
-    return factors.neural_scores(model, test, users, items).select("user_idx", "item_idx", F.round("score", 3).alias("score"))
+    return latent.fit_neural(train)(test).select("user_idx", "item_idx", F.round("prediction", 3).alias("score"))
 
 
 @query("fac6_history_factors")
 def fac6(v: Views):
     train, test, *_ = _encoded(v)
-    return _errors(train, factors.fit_svdpp(train)(test))
+    return _errors(train, latent.fit_svdpp(train)(test))
 
 
 @query("fac7_rmse", "SELECT round(sqrt(avg((rating - helpful_vote) * (rating - helpful_vote))), 6) AS rmse FROM reviews")

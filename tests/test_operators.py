@@ -116,27 +116,6 @@ def test_als_leaves_out_seen_items(spark):
     assert got.join(seen, ["user_id", "item_id"]).isEmpty() and got.where("rank > 5").isEmpty() and got.count() == 100
 
 
-def test_factor_models_beat_the_mean(spark):
-    """On held-out cells of a block pattern, both models come well under the error of the mean, 2."""
-    cells = [(u, i, 1.0 + 4.0 * ((u % 2) == (i % 2))) for u in range(16) for i in range(16)]
-    frame = lambda held: spark.createDataFrame([c for c in cells if ((3 * c[0] + 5 * c[1]) % 7 == 0) == held], "user_idx int, item_idx int, rating double")
-    train, test = frame(False), frame(True)
-    for fit in (factors.fit_mf, factors.fit_svdpp):
-        got = factors.rmse(fit(train, factors=4, iterations=150)(test)).first().rmse
-        assert got < 1.6, (fit, got)
-    # an unknown user is no error
-    assert factors.fit_mf(train, factors=2, iterations=5)(spark.createDataFrame([(99, 3)], "user_idx int, item_idx int")).count() == 1
-
-
-def test_neural_scores_follow_ratings(spark):
-    cells = [(u, i, 1.0 + 4.0 * ((u % 2) == (i % 2))) for u in range(12) for i in range(12)]
-    train = spark.createDataFrame(cells, "user_idx int, item_idx int, rating double")
-    tables = factors.factor_tables(factors.fit_als(train.where("rating = 5").withColumn("confidence", (F.col("rating") / 5).cast("float")), 4, 5))
-    scored = factors.neural_scores(factors.fit_neural_rerank(train, *tables, 4, iterations=60), train, *tables)
-    means = {r.rating: r.m for r in scored.groupBy("rating").agg(F.avg("score").alias("m")).collect()}
-    assert means[5.0] > means[1.0] + 1
-
-
 def test_content_weights_by_hand(spark):
     """0.4 satisfaction, 0.2 recency, 0.2 popularity, 0.1 hotness, 0.1 price score."""
     rows = [("a", 5.0, 3, 7, 2, "2020-01-11", 10.0, "x"), ("b", 2.0, 1, 0, 0, "2020-01-01", 30.0, "x"), ("c", 4.0, 8, 1, 8, "2020-01-06", 10.0, "x")]
