@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 
 from reviewrec.functions.columns import added, band, dot, repeat_text, scaled, unit, words
 
-from .relational import item_ratings, minmax, threshold_or_top
+from .relational import item_ratings, minmax
+from .retrieval import fused_top, impacts, query_terms
 from .vectors import top_products
 
 
@@ -50,16 +51,8 @@ def bm25(posted: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75
 
     Terms in over half of the items get eps times the mean idf instead of a negative one.
     """
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    length = posted.groupBy(key).agg(F.sum("tf").alias("dl"))
-    total = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    idf = df.crossJoin(F.broadcast(total)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.agg(F.avg("raw").alias("mean"))
-    idf = idf.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, eps * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    asked = queries.select("query_id", F.explode(words("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    found = asked.join(idf, "term").join(posted, "term").join(length, key)
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return found.groupBy("query_id", key).agg(F.sum(part).alias("bm25"))
+    found = query_terms(queries).join(impacts(posted, k1, b, eps, key), "term")
+    return found.groupBy("query_id", key).agg(F.sum(F.col("qf") * F.col("impact")).alias("bm25"))
 
 
 def score_vectors(queries: DataFrame, vectors: DataFrame, key: str = "item_id") -> DataFrame:
@@ -68,20 +61,17 @@ def score_vectors(queries: DataFrame, vectors: DataFrame, key: str = "item_id")
     return vectors.crossJoin(q).select("query_id", key, dot("q", "vector").alias("emb"))
 
 
-def hybrid_search(queries: DataFrame, vectors: DataFrame, posted: DataFrame, k: int = 20, threshold: float = 0.20, least: int = 20) -> DataFrame:
+def hybrid_search(queries: DataFrame, vectors: DataFrame, posted: DataFrame, k: int = 50, threshold: float = 0.20, least: int = 20) -> DataFrame:
     """(query_id, item_id, rank, emb_score, bm25_score, hybrid_score).
 
-    .55 vector similarity + .45 BM25, each scaled to 0..1 within the query, BM25 0 where no term is shared. Kept: scores at or over the threshold
-    if there are `least` of them, else the best max(least, k).
+    .55 vector similarity + .45 BM25, each scaled to 0..1 within the query: similarity over all items with a vector, BM25 over all of posted, with 0 for items that share no term. An
+    item without postings has bm25_score 0. Kept: the best k of the scores at or over the threshold, if there are `least` of those; else the best max(least, k) of all.
     """
-    emb = minmax(score_vectors(queries, vectors), "emb", "query_id")
-    words_ = bm25(posted, queries)
-    # items without a shared term have BM25 0, which is the lowest score unless all items share one
-    joined = emb.join(words_, ["query_id", "item_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-    joined = minmax(joined, "bm25", "query_id").withColumn("hybrid_score", F.round(0.55 * F.col("emb") + 0.45 * F.col("bm25"), 6))
-    kept = threshold_or_top(joined, "hybrid_score", threshold, max(least, k), "query_id", "item_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("hybrid_score"), "item_id")
-    return kept.select("query_id", "item_id", F.row_number().over(order).alias("rank"), F.round("emb", 6).alias("emb_score"), F.round("bm25", 6).alias("bm25_score"), "hybrid_score")
+    best = fused_top(queries, vectors, posted, max(k, least))
+    enough = best.where((F.col("rank") == least) & (F.col("hybrid_score") >= threshold)).select("query_id", F.lit(True).alias("_enough"))
+    marked = best.join(enough, "query_id", "left")
+    kept = marked.where(F.col("_enough").isNull() | ((F.col("rank") <= k) & (F.col("hybrid_score") >= threshold)))
+    return kept.select("query_id", "item_id", "rank", F.round("emb", 6).alias("emb_score"), F.round("bm25", 6).alias("bm25_score"), "hybrid_score")
 
 
 def score_band_cluster(results: DataFrame, vectors: DataFrame, n: int = 4) -> DataFrame:

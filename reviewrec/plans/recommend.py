@@ -210,11 +210,12 @@ bm AS (SELECT query_id, item_id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0
 _HYB = f"""{_VECS}, {_BM25}, qv AS (SELECT query_id, vector AS q FROM search_queries JOIN meta_vectors ON item_id = query_id::VARCHAR),
 emb0 AS (SELECT query_id, item_id, list_dot_product(q, vector) AS emb FROM qv, vecs),
 emb1 AS (SELECT query_id, item_id, (emb - min(emb) OVER w) / (max(emb) OVER w - min(emb) OVER w + 1e-9) AS emb FROM emb0 WINDOW w AS (PARTITION BY query_id)),
-both0 AS (SELECT e.query_id, e.item_id, emb, coalesce(bm25, 0) AS b FROM emb1 e LEFT JOIN bm USING (query_id, item_id)),
-both1 AS (SELECT query_id, item_id, emb, (b - min(b) OVER w) / (max(b) OVER w - min(b) OVER w + 1e-9) AS b FROM both0 WINDOW w AS (PARTITION BY query_id)),
+corpus AS (SELECT query_id, d.item_id, coalesce(bm25, 0) AS b FROM qv CROSS JOIN len0 d LEFT JOIN bm USING (query_id, item_id)),
+scaled AS (SELECT query_id, item_id, (b - min(b) OVER w) / (max(b) OVER w - min(b) OVER w + 1e-9) AS b FROM corpus WINDOW w AS (PARTITION BY query_id)),
+both1 AS (SELECT e.query_id, e.item_id, emb, coalesce(b, 0) AS b FROM emb1 e LEFT JOIN scaled USING (query_id, item_id)),
 hs AS (SELECT *, round(0.55 * emb + 0.45 * b, 6) AS hybrid_score FROM both1),
-hk AS (SELECT *, count(*) FILTER (WHERE hybrid_score >= 0.2) OVER (PARTITION BY query_id) AS hits, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, item_id) AS pos FROM hs),
-results AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, item_id)::INTEGER AS rank, round(emb, 6) AS emb_score, round(b, 6) AS bm25_score, hybrid_score FROM hk WHERE (hits >= 20 AND hybrid_score >= 0.2) OR (hits < 20 AND pos <= 20))"""
+hk AS (SELECT *, count(*) FILTER (WHERE hybrid_score >= 0.2) OVER (PARTITION BY query_id) AS hits, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, item_id)::INTEGER AS pos FROM hs),
+results AS (SELECT query_id, item_id, pos AS rank, round(emb, 6) AS emb_score, round(b, 6) AS bm25_score, hybrid_score FROM hk WHERE pos <= 50 AND (hits < 20 OR hybrid_score >= 0.2))"""
 
 
 def _vectors(v: Views) -> DataFrame:
