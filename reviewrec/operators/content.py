@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewrec.sources import scratch
+
+from .quantiles import exact_quantiles
+
 #: Fixed values.
 WEIGHTS = {"satisfaction": 0.4, "recency": 0.2, "popularity": 0.2, "hotness": 0.1, "price_score": 0.1}
 
@@ -35,7 +39,8 @@ def content_scores(features: DataFrame) -> DataFrame:
 
 def price_score(features: DataFrame) -> DataFrame:
     """Nearness of a price to its category's median; unknown prices and medians of zero count 0.5."""
-    middle = features.groupBy("main_category").agg(F.median("price_median").alias("_middle"))
+    features = scratch.written(features, "features")
+    middle = exact_quantiles(features, ["main_category"], "price_median", {"_middle": 0.5})
     m = F.nullif(F.col("_middle"), F.lit(0.0))
     near = 1 / (1 + F.abs(F.col("price_median") - m) / m)
     joined = features.join(middle, features["main_category"].eqNullSafe(middle["main_category"]), "left").drop(middle["main_category"])

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import exact_quantiles
+
 from reviewrec.sources.tables import require_columns
 
 # -- projections and filters -----------------------------------------------------------------------
@@ -37,8 +39,12 @@ def drop_sparse_columns(df: DataFrame, most: float = 0.40, keep: Sequence[str] =
 
 def impute(df: DataFrame, rules: dict[str, str | float]) -> DataFrame:
     """Fills nulls with the column's `mean` or `median`, or with a constant."""
-    aggs = [(F.avg(c) if r == "mean" else F.median(c)).alias(f"_{c}") for c, r in rules.items() if r in ("mean", "median")]
-    wide = df.crossJoin(F.broadcast(df.agg(*aggs))) if aggs else df
+    wide = df
+    means = [F.avg(c).alias(f"_{c}") for c, r in rules.items() if r == "mean"]
+    if means:
+        wide = wide.crossJoin(F.broadcast(df.agg(*means)))
+    for c in (c for c, r in rules.items() if r == "median"):
+        wide = wide.crossJoin(F.broadcast(exact_quantiles(df, [], c, {f"_{c}": 0.5})))
     fill = {c: F.coalesce(F.col(c), F.col(f"_{c}") if r in ("mean", "median") else F.lit(r)) for c, r in rules.items()}
     return wide.select(*(fill[c].alias(c) if c in fill else F.col(c) for c in df.columns))
 
@@ -248,10 +254,9 @@ def item_ratings(interactions: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     x = F.col(column).cast("double")
-    return df.agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("least"),
-        *(F.percentile(x, p).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)), F.max(x).alias("most"),
-    )
+    whole = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("least"), F.max(x).alias("most"))
+    quartiles = exact_quantiles(df, [], x, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return whole.crossJoin(F.broadcast(quartiles)).select("n", "mean", "std", "least", "p25", "p50", "p75", "most")
 
 
 def avg_words(df: DataFrame, column: str) -> DataFrame:

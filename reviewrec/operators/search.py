@@ -13,7 +13,7 @@ from reviewrec.functions.columns import added, band, dot, repeat_text, scaled, u
 
 from .relational import item_ratings, minmax
 from .retrieval import fused_top, impacts, query_terms
-from .vectors import top_products
+from .vectors import near_products, top_products
 
 
 def embed_text(df: DataFrame, text: str, size: int = 32, seed: int = 42, encoder: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -129,8 +129,9 @@ def user_profiles(reviews: DataFrame, text: str, order: list, users: int = 50, e
     return embed_text(user_profile_text(reviews, text, order, users), "text", encoder=encoder)
 
 
-def similar_items(vectors: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:
-    """(seed_item, rank, item_id, score): cosine, the seed left out; an unknown seed has none."""
+def similar_items(vectors: DataFrame, seeds: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
+    """(seed_item, rank, item_id, score): cosine, the seed left out; an unknown seed has none. probes: search an inverted file, so many cells a seed; else every item."""
     units = vectors.select("item_id", unit("vector").alias("vector"))
     q = seeds.select("seed_item").distinct().join(units, F.col("seed_item") == F.col("item_id")).select(F.col("seed_item").alias("query"), "vector")
-    return top_products(units, q, k).select(F.col("query").alias("seed_item"), "rank", "item_id", "score", F.lit("semantic").alias("source"))
+    found = top_products(units, q, k) if probes is None else near_products(units, q, k, probes)
+    return found.select(F.col("query").alias("seed_item"), "rank", "item_id", "score", F.lit("semantic").alias("source"))

@@ -1,20 +1,15 @@
-"""Sentiment classification: TF-IDF, splits, class weights, a linear classifier, reports, review digests."""
+"""Sentiment classification: TF-IDF, splits, class weights, reports, review digests."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, SQLTransformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .relational import head_text, top_k_per
 
-TOKEN = r"\w\w+"
-
 
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term) for words of two or more word characters and pairs of neighbours, with repeats."""
@@ -28,7 +23,7 @@ def tfidf(df: DataFrame, key: str, text: str, max_features: int = 15_000) -> Dat
     tf = terms(df, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
     vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
     n = df.agg(F.count("*").alias("n"))
-    weighted = tf.join(vocabulary, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    weighted = tf.join(F.broadcast(vocabulary), "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
@@ -53,19 +48,6 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select(label, (F.col("_n") / (F.col("_k") * F.col("n"))).alias("weight"))
 
 
-def fit_svm(df: DataFrame, text: str, label: str, features: int = 2000, steps: int = 10):
-    """A pipeline model: word and word-pair counts, one class-weighted linear SVM against the rest for each class."""
-    weighted = df.join(F.broadcast(balanced_weights(df, label)), label)
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=TOKEN, gaps=False),
-        NGram(n=2, inputCol="_words", outputCol="_pairs"),
-        SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_features", vocabSize=features),
-        OneVsRest(classifier=LinearSVC(maxIter=steps), featuresCol="_features", labelCol=label, weightCol="weight"),
-    ]
-    return Pipeline(stages=stages).fit(weighted)
-
-
 def confusion(predicted: DataFrame, actual: str = "label", guess: str = "prediction", classes: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     return predicted.groupBy(F.col(actual).cast("int").alias("actual")).agg(*(F.count_if(F.col(guess) == c).alias(f"predicted_{c}") for c in classes))
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewrec.operators import baskets as B
-from reviewrec.operators import content, evaluate, experiments, factors, hybrid, itemcf, latent, sentiment
+from reviewrec.operators import content, evaluate, experiments, factors, hybrid, itemcf, latent, sentiment, svm
 from reviewrec.operators import relational as R
 from reviewrec.operators import search as S
+from reviewrec.operators.quantiles import exact_quantiles
 from reviewrec.sources import scratch
 from reviewrec.sources.fixtures import Views
 
@@ -143,8 +144,8 @@ for _name, _column in (("con1_verified_rate", "verified_rate"), ("con1_helpful_l
 
 @query("win5_group_median", f"{_FEATURES} SELECT item_id, round(median(price_median) OVER (PARTITION BY main_category), 9) AS middle FROM features")
 def win5(v: Views):
-    f = content.product_features(v.reviews())
-    return f.join(f.groupBy("main_category").agg(F.median("price_median").alias("m")), "main_category").select("item_id", F.round("m", 9).alias("middle"))
+    f = scratch.written(content.product_features(v.reviews()), "features")
+    return f.join(exact_quantiles(f, ["main_category"], "price_median", {"m": 0.5}), "main_category").select("item_id", F.round("m", 9).alias("middle"))
 
 
 @query("con6_content_top10", f"{_CONTENT}, {_SEEDS}, best AS (SELECT item_id, score FROM ranked ORDER BY score DESC, item_id LIMIT 11) SELECT seed_item, rank::INTEGER AS rank, item_id, score FROM (SELECT seed_item, item_id, score, row_number() OVER (PARTITION BY seed_item ORDER BY score DESC, item_id) AS rank FROM seeds, best WHERE seed_item <> item_id) WHERE rank <= 10")
@@ -581,13 +582,13 @@ def exp5(v: Views):
 # -- sentiment -------------------------------------------------------------------------------------
 
 _TFIDF = r"""w AS (SELECT item_id, regexp_extract_all(lower(text), '\w\w+') AS w FROM docs), t AS (SELECT item_id, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS term FROM w),
-tf AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL), vocab AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY 1 ORDER BY total DESC, term LIMIT 2000), n AS (SELECT count(*) AS n FROM w),
+tf AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY ALL), vocab AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY 1 ORDER BY total DESC, term LIMIT 15000), n AS (SELECT count(*) AS n FROM w),
 ww AS (SELECT item_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN vocab USING (term), n), nn AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM ww GROUP BY 1)"""
 
 
 @query("nlp1_tfidf", f"{_TFIDF} SELECT item_id, term, round(w / norm, 6) AS weight FROM ww JOIN nn USING (item_id)")
 def nlp1(v: Views):
-    return sentiment.tfidf(v.docs().select("item_id", "text"), "item_id", "text", 2000).withColumn("weight", F.round("weight", 6))
+    return sentiment.tfidf(v.docs().select("item_id", "text"), "item_id", "text").withColumn("weight", F.round("weight", 6))
 
 
 @query("nlp2_stratified_split")
@@ -605,7 +606,7 @@ def nlp3(v: Views):
 def nlp4(v: Views):
     rows = v.table("labels").join(v.table("documents").select("doc_id", "text"), "doc_id").select("doc_id", "text", (F.col("quality") + F.col("toxic")).cast("double").alias("label"))
     train, test = sentiment.stratified_split(rows, "label", "doc_id")
-    model = sentiment.fit_svm(train, "text", "label")
+    model = svm.fit_svm(train, "doc_id", "text", "label", svm.fit_vocabulary(rows, "doc_id", "text"))
     return sentiment.classification_report(model.transform(test))
 
 
