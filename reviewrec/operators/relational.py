@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reviewrec.functions.columns import band
+
 from .quantiles import exact_quantiles
 
 from reviewrec.sources.tables import require_columns
@@ -146,6 +148,14 @@ def minmax(df: DataFrame, column: str, by: str | None = None, out: str | None =
     return wide.withColumn(out or column, (F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9)).drop("_lo", "_hi")
 
 
+def group_bands(df: DataFrame, by: str, score: str, n: int = 4, out: str = "band") -> DataFrame:
+    """df with the number of the score's band of n equal ones between the group's extremes; a null group is one. The extremes are gathered before they are joined, so no
+    task holds a group."""
+    edges = df.groupBy(F.col(by).alias("_by")).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    joined = df.join(edges, F.col(by).eqNullSafe(F.col("_by")))
+    return joined.withColumn(out, band(F.col(score), F.col("_lo"), F.col("_hi"), n)).drop("_by", "_lo", "_hi")
+
+
 def winner(df: DataFrame, name: str, metric: str, highest: bool = True) -> DataFrame:
     order = F.desc(metric) if highest else F.asc(metric)
     return df.where(F.col(metric).isNotNull()).orderBy(order, name).limit(1).select(F.lit(metric).alias("metric"), F.col(name).alias("winner"), F.col(metric).alias("value"))

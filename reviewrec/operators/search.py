@@ -4,27 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reviewrec.functions.columns import added, band, dot, repeat_text, scaled, unit, words
+from reviewrec.functions.columns import added, dot, repeat_text, scaled, unit, words
 
-from .relational import item_ratings, minmax
+from .encoder import TextEncoder, fit_encoder
+from .relational import group_bands, item_ratings, minmax
 from .retrieval import fused_top, impacts, query_terms
 from .vectors import near_products, top_products
 
 
-def embed_text(df: DataFrame, text: str, size: int = 32, seed: int = 42, encoder: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Adds `vector`, of unit length. encoder: a function that adds it instead, for instance a pandas UDF over a model."""
-    if encoder is not None:
+def embed_text(df: DataFrame, text: str, key: str = "item_id", size: int = 32, seed: int = 42, encoder: TextEncoder | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Adds `vector`, of unit length. encoder: a fitted one, or a function that adds it, for instance a pandas UDF over a model; else one is fitted on df."""
+    if callable(encoder):
         return encoder(df)
-    tokens = df.withColumn("_words", words(text))
-    model = Word2Vec(vectorSize=size, minCount=2, maxIter=1, seed=seed, inputCol="_words", outputCol="_vector").fit(tokens)
-    from pyspark.ml.functions import vector_to_array
-
-    return model.transform(tokens).withColumn("vector", unit(vector_to_array("_vector"))).drop("_words", "_vector")
+    return (encoder or fit_encoder(df, key, text, size, seed=seed)).encode(df, key, text)
 
 
 def mean_vectors(vectors: DataFrame, key: str = "item_id") -> DataFrame:
@@ -77,7 +73,7 @@ def hybrid_search(queries: DataFrame, vectors: DataFrame, posted: DataFrame, k:
 def score_band_cluster(results: DataFrame, vectors: DataFrame, n: int = 4) -> DataFrame:
     """results with `band` (n - 1 is the top) and `position`: within a band by closeness to its centroid, top band first."""
     group = Window.partitionBy("query_id")
-    banded = results.withColumn("band", band(F.col("hybrid_score"), F.min("hybrid_score").over(group), F.max("hybrid_score").over(group), n))
+    banded = group_bands(results, "query_id", "hybrid_score", n)
     joined = banded.join(vectors.select("item_id", "vector"), "item_id")
     center = mean_vectors(joined.select(F.struct("query_id", "band").alias("key"), "vector"), "key").select(F.col("key.query_id").alias("query_id"), F.col("key.band").alias("band"), F.col("vector").alias("center"))
     near = joined.join(center, ["query_id", "band"]).withColumn("closeness", F.round(dot(unit("vector"), unit("center")), 6))
@@ -125,8 +121,9 @@ def user_profile_text(reviews: DataFrame, text: str, order: list, users: int = 5
     return joined.select("user_id", F.substring(F.array_join(F.transform("r", lambda x: x["t"]), " "), 1, chars).alias("text"))
 
 
-def user_profiles(reviews: DataFrame, text: str, order: list, users: int = 50, encoder: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    return embed_text(user_profile_text(reviews, text, order, users), "text", encoder=encoder)
+def user_profiles(reviews: DataFrame, text: str, order: list, users: int = 50, encoder: TextEncoder | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(user_id, text, vector) of the most active users, in the encoder's space, which should be that of the items."""
+    return embed_text(user_profile_text(reviews, text, order, users), "text", "user_id", encoder=encoder)
 
 
 def similar_items(vectors: DataFrame, seeds: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from reviewrec.operators import baskets as B
 from reviewrec.operators import content, evaluate, experiments, factors, hybrid, itemcf, latent, sentiment, svm
 from reviewrec.operators import relational as R
 from reviewrec.operators import search as S
+from reviewrec.operators.encoder import fit_encoder
 from reviewrec.operators.quantiles import exact_quantiles
 from reviewrec.sources import scratch
 from reviewrec.sources.fixtures import Views
@@ -311,12 +312,20 @@ def sea1(v: Views):
 
 @query("sea12_user_profiles")
 def sea12(v: Views):
-    return S.user_profiles(v.reviews(), "title", [F.col(c) for c in _PROFILE_ORDER]).select("user_id", F.size("vector").alias("size"))
+    # items and users in one space
+    encoder = fit_encoder(v.metadata(), "item_id", "title")
+    profiles = S.user_profiles(v.reviews(), "title", [F.col(c) for c in _PROFILE_ORDER], encoder=encoder)
+    return profiles.select("user_id", F.size("vector").alias("size"), F.round(S.dot("vector", "vector"), 3).alias("norm"))
 
 
 _SIMILAR = f"{_VECS}, {_SEEDS}, near AS (SELECT seed_item, b.item_id, round(list_dot_product(a.vector, b.vector), 6) AS score FROM seeds JOIN vecs a ON a.item_id = seed_item JOIN vecs b ON b.item_id <> seed_item), nearest AS (SELECT seed_item, item_id, score, row_number() OVER (PARTITION BY seed_item ORDER BY score DESC, item_id)::INTEGER AS rank FROM near QUALIFY rank <= 10)"
 
 
+@query("sea13_similar_items_indexed")
+def sea13_indexed(v: Views):
+    return S.similar_items(_vectors(v), _seeds(v), 10, probes=8).drop("source")
+
+
 @query("sea13_similar_items", f"{_SIMILAR} SELECT seed_item, rank, item_id, score FROM nearest")
 def sea13(v: Views):
     return S.similar_items(_vectors(v), _seeds(v), 10).drop("source")
@@ -337,7 +346,9 @@ def _item_rules(v: Views) -> DataFrame:
 
 def _models(v: Views) -> hybrid.Models:
     x = v.interactions()
-    return hybrid.Models(x, _item_rules(v), _neighbors(v), _ranking(v), _vectors(v), v.metadata(), R.item_ratings(x))
+    # each is read by several paths
+    once = [scratch.written(df, name) for df, name in ((_item_rules(v), "rules"), (_neighbors(v), "neighbors"), (_ranking(v), "ranking"))]
+    return hybrid.Models(x, *once, _vectors(v), v.metadata(), scratch.written(R.item_ratings(x), "counts"))
 
 
 _MODEL_SQL = f"{_CONTENT}, {_SIMS}, {_ITEM_RULES}, {_SIMILAR}"
@@ -505,16 +516,18 @@ def _systems(v: Views, train: DataFrame) -> Callable[[DataFrame], dict]:
 
 
 def _board(systems: dict, train: DataFrame, test: DataFrame, users: int) -> DataFrame:
-    """Users without an answer don't count."""
+    """Users without an answer don't count; a system that answers none has n_users 0 and no metrics."""
     rows = {n: evaluate.evaluate(f, train, test, 10, users=users, empty="skip") for n, f in systems.items()}
-    return scratch.written(evaluate.compare_systems(rows), "board").fillna(0.0)
+    return scratch.written(evaluate.compare_systems(rows), "board")
 
 
 @query("eva6_comparison")
 def eva6(v: Views):
     train, test = R.leave_last_out(v.interactions())
     board = _board(_systems(v, train)(train), train, test, 500)
-    return board.select("system", *evaluate.METRICS).unionByName(evaluate.metric_winners(board).groupBy().pivot("metric", list(evaluate.METRICS)).agg(F.first("value")).withColumn("system", F.lit("best")).select("system", *evaluate.METRICS))
+    best = evaluate.metric_winners(board).groupBy().pivot("metric", list(evaluate.METRICS)).agg(F.first("value"))
+    best = best.select(F.lit("best").alias("system"), F.lit(None).cast("long").alias("n_users"), *evaluate.METRICS)
+    return board.select("system", "n_users", *evaluate.METRICS).unionByName(best)
 
 
 @query("eva7_cold_start")

@@ -237,10 +237,7 @@ def join8(v: Views):
 
 @query("join9_bands", "t AS (SELECT p_partkey, p_type, p_retailprice, min(p_retailprice) OVER (PARTITION BY p_type) lo, max(p_retailprice) OVER (PARTITION BY p_type) hi FROM part) SELECT p_partkey, p_type, least(floor((p_retailprice - lo) / ((hi - lo) / 4)), 3)::INTEGER AS band FROM t")
 def join9(v: Views):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("p_type")
-    return v.table("part").select("p_partkey", "p_type", C.band(F.col("p_retailprice"), F.min("p_retailprice").over(w), F.max("p_retailprice").over(w), 4).alias("band"))
+    return R.group_bands(v.table("part"), "p_type", "p_retailprice").select("p_partkey", "p_type", "band")
 
 
 @query("set1_union_all", "SELECT user_id, item_id FROM interactions UNION ALL SELECT item_id, item_id FROM metadata")
