@@ -5,6 +5,9 @@ Python here only ever sees one Arrow batch at a time; Spark partitions, shuffles
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +18,7 @@ from pyspark.sql import types as T
 
 from reviewrec.sources.scratch import Scratch, scratch_dir, written
 
-__all__ = ["BYTE", "LOWER", "SPACE", "U64", "Prefix", "Scratch", "columns", "mapped", "mix", "powers", "prepare", "scratch_dir", "shuffle_partitions", "signed", "slices", "utf8", "word_hashes", "word_places", "written"]
+__all__ = ["BYTE", "LOWER", "SPACE", "U64", "Prefix", "Scratch", "columns", "mapped", "mix", "powers", "prepare", "scratch_dir", "shuffle_partitions", "signed", "slices", "trim", "utf8", "word_hashes", "word_places", "written"]
 
 U64 = np.uint64
 
@@ -30,6 +33,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Gives back what earlier tasks of this worker freed but still hold, as a worker serves all stages of a pipeline."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # -- columns that go along --------------------------------------------------------------------------
 
 

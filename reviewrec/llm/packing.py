@@ -285,6 +285,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     end = np.array([END], "<u4").tobytes()
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         packer, part, coder = Packer(window, open_windows), TaskContext.get().partitionId(), encoder(tokenizer)
         for batch in batches:
             names = batch.column(0).to_pylist()
