@@ -28,11 +28,16 @@ def item_similarity(centred: DataFrame) -> DataFrame:
     """
     norms = centred.groupBy("item_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")).where("norm > 0")
     blocks = centred.groupBy("user_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
-    dealt = centred.join(blocks, "user_id").withColumn("_own", F.pmod(F.xxhash64("item_id"), "_blocks").cast("int"))
+    dealt = centred.join(blocks, "user_id")
+    # most users are one block: their rows meet by user, without copies
+    one = dealt.where("_blocks = 1")
+    few = one.select("user_id", F.col("item_id").alias("i"), F.col("value").alias("vi")).join(one.select("user_id", F.col("item_id").alias("j"), F.col("value").alias("vj")), "user_id")
+    many = dealt.where("_blocks > 1").withColumn("_own", F.pmod(F.xxhash64("item_id"), "_blocks").cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    a = dealt.select("user_id", F.col("_own").alias("_a"), every.alias("_b"), F.col("item_id").alias("i"), F.col("value").alias("vi"))
-    b = dealt.select("user_id", every.alias("_a"), F.col("_own").alias("_b"), F.col("item_id").alias("j"), F.col("value").alias("vj"))
-    dots = a.join(b, ["user_id", "_a", "_b"]).where("i < j").groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("dot"))
+    a = many.select("user_id", F.col("_own").alias("_a"), every.alias("_b"), F.col("item_id").alias("i"), F.col("value").alias("vi"))
+    b = many.select("user_id", every.alias("_a"), F.col("_own").alias("_b"), F.col("item_id").alias("j"), F.col("value").alias("vj"))
+    met = [pairs.where("i < j").select("i", "j", (F.col("vi") * F.col("vj")).alias("part")) for pairs in (few, a.join(b, ["user_id", "_a", "_b"]))]
+    dots = met[0].unionByName(met[1]).groupBy("i", "j").agg(F.sum("part").alias("dot"))
     sims = dots.join(norms.toDF("i", "ni"), "i").join(norms.toDF("j", "nj"), "j").select("i", "j", (F.col("dot") / (F.col("ni") * F.col("nj"))).alias("sim"))
     return sims.select(F.explode(F.array(F.struct(F.col("i").alias("item_id"), F.col("j").alias("neighbor_id"), "sim"), F.struct(F.col("j").alias("item_id"), F.col("i").alias("neighbor_id"), "sim"))).alias("e")).select("e.*")
 

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reviewrec.functions.columns import band
+from reviewrec.sources import scratch
+from reviewrec.sources.tables import require_columns
 
 from .quantiles import exact_quantiles
 
-from reviewrec.sources.tables import require_columns
-
 # -- projections and filters -----------------------------------------------------------------------
 
 
@@ -183,19 +183,14 @@ def user_history(train: DataFrame) -> DataFrame:
     return items.withColumn("seed_item", F.element_at("items", -1))
 
 
-def build_id_map(df: DataFrame, key: str, ranges: int = 1000) -> DataFrame:
-    """(id, idx): 0, 1, .. in the order of the ids. Ranges of ids are numbered apart, so no task holds all of them.
-
-    Ids fall into ranges by fixed bounds, quantiles of their order, so numbering a range again after a lost task gives the same numbers.
-    """
+def build_id_map(df: DataFrame, key: str) -> DataFrame:
+    """(id, idx): 0, 1, .. in the order of the ids. Ranges of ids are numbered apart, so no task holds all of them; they are written, so numbering one again gives the same numbers."""
     ids = df.select(F.col(key).alias("id")).where("id is not null").distinct()
-    # bounds: the least ids of a sample by hash, evenly apart
-    some = ids.orderBy(F.xxhash64("id"), "id").limit(ranges).agg(F.sort_array(F.collect_list("id")).alias("bounds"))
-    ranged = ids.crossJoin(F.broadcast(some)).select("id", F.size(F.filter("bounds", lambda b: b <= F.col("id"))).alias("range"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = scratch.written(ids.repartitionByRange(parts, "id").withColumn("range", F.spark_partition_id()), "ids")
     numbered = ranged.withColumn("n", F.row_number().over(Window.partitionBy("range").orderBy("id")))
-    sizes = ranged.groupBy("range").agg(F.count("*").alias("size"))
-    # a row a range, so at most one more than there are bounds
-    before = sizes.select("range", (F.sum("size").over(Window.orderBy("range")) - F.col("size")).alias("before"))
+    # a row a range
+    before = ranged.groupBy("range").agg(F.count("*").alias("size")).select("range", (F.sum("size").over(Window.orderBy("range")) - F.col("size")).alias("before"))
     return numbered.join(F.broadcast(before), "range").select("id", (F.col("before") + F.col("n") - 1).alias("idx"))
 
 

@@ -88,3 +88,10 @@ def test_bands_of_groups(spark):
     df = spark.createDataFrame([("a", 0.0), ("a", 1.0), ("a", 0.3), (None, 5.0), (None, 9.0), ("one", 2.0), ("none", None)], "g string, s double")
     got = {(r.g, r.s): r.band for r in R.group_bands(df, "g", "s").collect()}
     assert got == {("a", 0.0): 0, ("a", 1.0): 3, ("a", 0.3): 1, (None, 5.0): 0, (None, 9.0): 3, ("one", 2.0): 0, ("none", None): got["none", None]}
+
+
+def test_id_map_over_many_ranges(spark):
+    ids = [f"k{n:03d}" for n in range(200)]
+    df = spark.createDataFrame([(x,) for x in ids * 3] + [(None,)], "k string").repartition(9)
+    assert rows(R.build_id_map(df, "k"), "id", "idx") == [(x, n) for n, x in enumerate(ids)]
+    assert R.build_id_map(df.limit(0), "k").count() == 0
