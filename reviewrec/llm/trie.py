@@ -343,16 +343,16 @@ def _hashes(done: list[tuple[int, int, str]]) -> pa.RecordBatch:
 # -- the trie -----------------------------------------------------------------------------------------
 
 
-def prefix_trie(turns: DataFrame, conversations: DataFrame, scratch: Scratch) -> DataFrame:
+def prefix_trie(turns: DataFrame, conversations: DataFrame, scratch: Scratch, parts: int | None = None) -> DataFrame:
     """A row for every distinct prefix of the conversations' turns; nodes have an id (a, b), the root's is (0, 0).
 
     turns: (conv_id, position from 0 without gaps, digest of DIGEST bytes, size); conversations: (conv_id), each once, turnless ones too.
     conv_id, the smallest member (a conversation that starts with the prefix); depth, turns of the prefix; parent_conv_id (root: null); n_convs, members;
     n_children; n_leaves, childless nodes in the subtree with its top; saved_tokens, the sum over the subtree of (members - 1) times the size of the prefix's last turn;
-    ends_sha256, of the decimal ids of the members that end here, ascending, with commas. No conversation: no rows.
+    ends_sha256, of the decimal ids of the members that end here, ascending, with commas. No conversation: no rows. parts: range partitions, else by the number of turns.
     """
     rows = _segments(turns)
-    parts = _parts(conversations)
+    parts = parts or _parts(turns)
     ordered = scratch.written(rows.repartitionByRange(parts, *_SORT).sortWithinPartitions(*_SORT).withColumn("part", F.spark_partition_id()), "sorted")
     beside = neighbours(ordered)
     none = [F.lit(0).cast("long").alias(c) for c in ("deeper", "leaf_below")]
@@ -384,10 +384,10 @@ def conversation_trie(conversations: DataFrame, exchange: bool = False) -> DataF
     common.prepare(spark, IDS)
     with Scratch(spark) as scratch:
         turns = numbered(conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text"), scratch)
-        ids = turns.where("position = 0").select("conv_id")
+        ids, parts = turns.where("position = 0").select("conv_id"), _parts(turns)
         if exchange:
             turns, ids = exchanged(turns, scratch)
-        out = prefix_trie(turns, ids, scratch)
+        out = prefix_trie(turns, ids, scratch, parts)
         for table, _ in list(scratch.paths):
             scratch.keep(table)
         return out
