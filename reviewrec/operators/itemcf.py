@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewrec.sources.scratch import Scratch
+
 from .relational import top_k_per
 
 
@@ -47,6 +49,103 @@ def top_neighbors(sims: DataFrame, k: int = 50) -> DataFrame:
     return top_k_per(rounded, "item_id", "sim", k, tie="neighbor_id")
 
 
+#: Users with more items than this are heavy: their pairs are met only where bounds allow it.
+HEAVY = 1000
+#: Steps of the two bounds by which a heavy user's items are put into blocks.
+STEPS = 32
+#: Similarities are ranked after rounding to six places, so a bound must miss by more than that.
+MARGIN = 2e-6
+
+
+def nearest_items(centred: DataFrame, k: int = 50, heavy: int = HEAVY, report: dict | None = None) -> DataFrame:
+    """The rows of top_neighbors(item_similarity(centred), k), without meeting every pair of a heavy user's items.
+
+    The pairs of light users are summed first. By the Cauchy-Schwarz inequality the heavy users add at most h_i * h_j to a similarity, h
+    being the length of an item's heavy part as a share of its norm. So an item's k-th greatest lower bound is a floor that its k
+    neighbours reach, and a pair whose upper bound lies below the floors of both its items is no neighbour of either:
+
+    * pairs without a light user in common meet under a heavy user only if h_i * h_j reaches a floor; a heavy user's items lie in
+      blocks of like bounds, and blocks that can't reach a floor don't meet at all;
+    * of the pairs seen so far, those that can still reach a floor get their heavy part by a join on the pair.
+
+    An item with fewer than k partners among light users has no floor, and all its pairs are met; so are pairs that tie with a floor. Without heavy users this
+    is the plain form. An empty table gives no rows. `report`, if given, receives the numbers of pairs: `light`, `heavy` (what the plain
+    form would meet under heavy users), `met` (of these) and `looked_up`.
+    """
+    tables = Scratch(centred.sparkSession)
+    sizes = centred.groupBy("user_id").agg(F.count("*").alias("_n"))
+    if sizes.where(F.col("_n") > heavy).isEmpty():
+        return top_neighbors(item_similarity(centred), k)
+    with tables:
+        norms = centred.groupBy("item_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")).where("norm > 0")
+        rows = tables.written(centred.join(norms, "item_id").join(sizes, "user_id").withColumn("_heavy", F.col("_n") > heavy), "rated")
+        light, full = rows.where("not _heavy"), rows.where("_heavy")
+
+        left = light.select("user_id", F.col("item_id").alias("i"), F.col("value").alias("vi"), F.col("norm").alias("ni"))
+        right = light.select("user_id", F.col("item_id").alias("j"), F.col("value").alias("vj"), F.col("norm").alias("nj"))
+        met = left.join(right, "user_id").where("i < j")
+        dots = met.groupBy("i", "j", "ni", "nj").agg(F.sum(F.col("vi") * F.col("vj")).alias("dot"), F.count("*").alias("_met"))
+        lengths = full.groupBy("item_id").agg((F.sqrt(F.sum(F.col("value") * F.col("value"))) / F.first("norm")).alias("h"))
+        joined = dots.join(lengths.toDF("i", "hi"), "i", "left").join(lengths.toDF("j", "hj"), "j", "left")
+        seen = tables.written(joined.fillna(0.0, ["hi", "hj"]).withColumn("light", F.col("dot") / (F.col("ni") * F.col("nj"))), "seen")
+
+        least = _both_ways(seen.withColumn("sim", F.col("light") - F.col("hi") * F.col("hj")))
+        floors = top_k_per(least, "item_id", "sim", k, tie="neighbor_id").where(F.col("rank") == k).select("item_id", (F.col("sim") - MARGIN).alias("floor"))
+        floors = tables.written(floors, "floors")
+
+        # no similarity is below -1, so this floor excludes nothing
+        bounded = seen.join(floors.toDF("i", "fi"), "i", "left").join(floors.toDF("j", "fj"), "j", "left").fillna(-2.0, ["fi", "fj"])
+        bounded = bounded.withColumn("more", F.col("hi") * F.col("hj")).withColumn("floor", F.least("fi", "fj"))
+        # a pair that meets under heavy users needs its light part, whatever that is
+        alive = tables.written(bounded.where(F.greatest("light", F.lit(0.0)) + F.col("more") >= F.col("floor")).select("i", "j", "dot", "more", "floor"), "alive")
+
+        weights = full.join(lengths, "item_id").join(floors, "item_id", "left").fillna(-2.0, ["floor"])
+        heavy_pairs = tables.written(_met_by_bounds(weights), "heavy")
+
+        asked = alive.where("more > 0 and more < floor").select("i", "j")
+        mine = full.select(F.col("item_id").alias("i"), "user_id", F.col("value").alias("vi"))
+        theirs = full.select(F.col("item_id").alias("j"), "user_id", F.col("value").alias("vj"))
+        looked_up = asked.join(mine, "i").join(theirs, ["j", "user_id"]).groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("dot"))
+
+        parts = alive.select("i", "j", "dot").unionByName(heavy_pairs.select("i", "j", "dot")).unionByName(looked_up)
+        sums = parts.groupBy("i", "j").agg(F.sum("dot").alias("dot")).join(norms.toDF("i", "ni"), "i").join(norms.toDF("j", "nj"), "j")
+        best = tables.written(top_neighbors(_both_ways(sums.withColumn("sim", F.col("dot") / (F.col("ni") * F.col("nj")))), k), "nearest")
+        if report is not None:
+            pairs = F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long"), F.lit(0))
+            report["light"] = seen.agg(F.coalesce(F.sum("_met"), F.lit(0))).first()[0]
+            report["heavy"] = full.groupBy("user_id").agg(F.count("*").alias("n")).agg(pairs).first()[0]
+            report["met"] = heavy_pairs.agg(F.coalesce(F.sum("_met"), F.lit(0))).first()[0]
+            report["looked_up"] = asked.count()
+        tables.keep(best)
+        return best
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    forth = F.struct(F.col("i").alias("item_id"), F.col("j").alias("neighbor_id"), "sim")
+    back = F.struct(F.col("j").alias("item_id"), F.col("i").alias("neighbor_id"), "sim")
+    return pairs.select(F.explode(F.array(forth, back)).alias("e")).select("e.*")
+
+
+def _met_by_bounds(weights: DataFrame) -> DataFrame:
+    """(i, j, dot, _met): sums over heavy users, for the pairs whose product of lengths reaches the lower of both floors.
+
+    A block holds some BLOCK items of a user with like lengths and floors; pairs of blocks that can't reach a floor aren't made.
+    """
+    levels = weights.withColumn("_h", F.floor(F.col("h") * STEPS)).withColumn("_f", F.floor(F.col("floor") * STEPS))
+    counts = levels.groupBy("user_id", "_h", "_f").agg(F.ceil(F.count("*") / BLOCK).alias("_parts"))
+    dealt = levels.join(counts, ["user_id", "_h", "_f"]).withColumn("_part", F.pmod(F.xxhash64("item_id"), "_parts"))
+    block = F.struct("_h", "_f", "_part")
+    dealt = dealt.select("user_id", "item_id", "value", "h", "floor", block.alias("block"))
+    blocks = dealt.groupBy("user_id", "block").agg(F.max("h").alias("h"), F.min("floor").alias("floor"))
+    a = blocks.toDF("user_id", "a", "ha", "fa")
+    b = blocks.toDF("user_id", "b", "hb", "fb")
+    may = a.join(b, "user_id").where("ha * hb >= least(fa, fb)").select("user_id", "a", "b")
+    left = dealt.toDF("user_id", "i", "vi", "hi", "fi", "a")
+    right = dealt.toDF("user_id", "j", "vj", "hj", "fj", "b")
+    met = left.join(may, ["user_id", "a"]).join(right, ["user_id", "b"]).where("i < j and hi * hj >= least(fi, fj)")
+    return met.groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("dot"), F.count("*").alias("_met"))
+
+
 def recommend_by_cf(neighbors: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:
     """(seed_item, rank, item_id, score); an unknown seed has none."""
     found = seeds.select("seed_item").distinct().join(neighbors.select(F.col("item_id").alias("seed_item"), F.col("neighbor_id").alias("item_id"), F.col("sim").alias("score")), "seed_item")

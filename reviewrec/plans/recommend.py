@@ -165,7 +165,7 @@ def _centred(v: Views) -> DataFrame:
 
 
 def _neighbors(v: Views, k: int = 50) -> DataFrame:
-    return itemcf.top_neighbors(itemcf.item_similarity(_centred(v)), k)
+    return itemcf.nearest_items(_centred(v), k)
 
 
 @query("cf1_cells", f"{_CELLS} SELECT user_id, item_id, value FROM cells")
@@ -184,11 +184,21 @@ def cf3(v: Views):
     return sims.groupBy("item_id").agg(F.count("*").alias("n"), F.round(F.sum("sim"), 2).alias("total"), F.max("sim").alias("most"))
 
 
-@query("cf4_neighbors", f"{_SIMS} SELECT item_id, neighbor_id, sim, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, neighbor_id) AS rank FROM sims) WHERE rank <= 50")
+_NEAREST = f"""{_SIMS} SELECT item_id, neighbor_id, sim, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, neighbor_id) AS rank FROM sims) WHERE rank <= 50"""
+
+
+@query("cf4_neighbors", _NEAREST)
 def cf4(v: Views):
     return _neighbors(v)
 
 
+@query("cf4_neighbors_bounded", _NEAREST)
+def cf4_bounded(v: Views):
+    """The same rows with users of over 40 items met by bounds, as users of over 1,000 are in cf4_neighbors."""
+    return itemcf.nearest_items(_centred(v), 50, heavy=40)
+
+
 @query("cf5_recommend_by_cf", f"{_SIMS}, {_SEEDS} SELECT item_id AS seed_item, rank::INTEGER AS rank, neighbor_id AS item_id, sim AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, neighbor_id) AS rank FROM sims) WHERE rank <= 10 AND item_id IN (SELECT seed_item FROM seeds)")
 def cf5(v: Views):
     return itemcf.recommend_by_cf(_neighbors(v), _seeds(v), 10).select("seed_item", "rank", "item_id", "score")
@@ -509,7 +519,7 @@ def _systems(v: Views, train: DataFrame) -> Callable[[DataFrame], dict]:
         models = hybrid.Models(known, rules, neighbors, ranking, vectors, v.metadata(), counts)
         return hybrid.batch_recommend(models, seeds.withColumn("top_k", F.lit(10)), 1).select("user_id", "rank", "item_id")
 
-    neighbors = scratch.written(itemcf.top_neighbors(itemcf.item_similarity(itemcf.center_ratings(R.rating_cells(train)))), "neighbors")
+    neighbors = scratch.written(itemcf.nearest_items(itemcf.center_ratings(R.rating_cells(train))), "neighbors")
     by = lambda model: of_sample(lambda pairs: model(pairs).withColumnRenamed("prediction", "score"))
     plain = {"content": content_only, "mf": by(mf), "ncf": by(ncf)}
     return lambda known: plain | {"als": lambda seeds: implicit(seeds, known), "hybrid": lambda seeds: fused(seeds, known)}
