@@ -135,3 +135,24 @@ def test_tfidf_rows_are_the_tables(spark):
     want = {(r.id, r.term): r.weight for r in sentiment.tfidf(df, "id", "text", 4).collect()}
     assert {(k, t) for k, r in rows.items() for t in r} == set(want) and all(abs(want[k, t] - w) < 1e-12 for k, r in rows.items() for t, w in r.items())
     assert rows[3] == rows[4] == {}
+
+
+def test_products_are_sent_by_bands(spark, monkeypatch):
+    """Many blocks of items and queries: no row holds a block, and a cell's best leave it already merged. Ids twice, ties and own ids go as before."""
+    monkeypatch.setattr(vectors, "BLOCK", 4)
+    rng = random.Random(8)
+    items = [(f"i{k:03d}", [float(rng.randint(-2, 2)) for _ in range(2)]) for k in range(300)] + [("i007", [2.0, 2.0]), ("none", None), (None, [9.0, 9.0])]
+    make = lambda rows, key: spark.createDataFrame(rows, f"{key} string, vector array<double>").repartition(3)
+    sent = []
+    plain = vectors._best
+    monkeypatch.setattr(vectors, "_best", lambda rows, tasks, *rest: (sent.append((rows, tasks)), plain(rows, tasks, *rest))[1])
+    got = vectors.top_products(make(items, "item_id"), make(items[:150], "query"), 7, None, least=True).collect()
+    rows, tasks = sent[0]
+    bands = lambda side: rows.where(f"side = {side}").groupBy("id").count().agg({"count": "max"}).first()[0]
+    assert rows.schema["vector"].dataType.simpleString() == "array<double>" and rows.where("size(vector) > 2").isEmpty()
+    assert tasks <= 12 and bands(vectors.ASKED) <= 3 and bands(vectors.ITEM) <= 2 * 2
+    sound = [(i, v) for i, v in items if i is not None and v is not None]
+    for q, v in sound[:150]:
+        best = sorted((-(v[0] * w[0] + v[1] * w[1]), i) for i, w in sound if i != q)[:7]
+        assert sorted((-r.score, r.item_id) for r in got if r.query == q and r.item_id) == best
+        assert [r.score for r in got if r.query == q and not r.item_id] == [min(v[0] * w[0] + v[1] * w[1] for _, w in sound)]
