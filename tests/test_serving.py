@@ -95,3 +95,32 @@ def test_id_map_over_many_ranges(spark):
     df = spark.createDataFrame([(x,) for x in ids * 3] + [(None,)], "k string").repartition(9)
     assert rows(R.build_id_map(df, "k"), "id", "idx") == [(x, n) for n, x in enumerate(ids)]
     assert R.build_id_map(df.limit(0), "k").count() == 0
+
+
+def test_candidates_are_lists(spark):
+    """Nulls and users of several test rows as pairs would have them; no pair of a user and a sampled item is shuffled."""
+    from pyspark.sql import functions as F
+
+    items = spark.createDataFrame([(f"i{k}",) for k in range(40)] + [(None,)], "item_id string")
+    test = spark.createDataFrame([("u", "i1"), ("u", "i2"), ("v", None), (None, "i3"), ("w", "i4")], "user_id string, item_id string")
+    seen = spark.createDataFrame([("u", f"i{k}") for k in range(30)] + [("w", None), (None, "i9"), ("x", "i1")], "user_id string, item_id string").repartition(3)
+    some = R.sample_keys(items, "item_id", 20)
+    pairs = test.select("user_id").distinct().crossJoin(some).join(seen.distinct(), ["user_id", "item_id"], "left_anti")
+    want = test.select("user_id", "item_id").union(pairs.select("user_id", "item_id")).distinct()
+    got = factors.sampled_candidates(test, items, seen, 20)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")  # lists are opened after the last shuffle
+
+
+def test_scored_candidates_as_transform(spark):
+    ratings = spark.createDataFrame([(u, i, float((u * i) % 5 + 1) / 5) for u in range(20) for i in range(30) if (u + i) % 3], "user_idx int, item_idx int, confidence float")
+    model = factors.fit_als(ratings, 4, 3)
+    lists = spark.createDataFrame([(u, [i for i in range(33) if (u * i) % 4]) for u in range(22)] + [(5, None)], "user_id int, items array<int>")
+    sample = spark.createDataFrame([(i,) for i in (1, 2, 3, 5, 8, 13, 21, 32)], "item_id int")
+    pairs = lists.selectExpr("user_id AS user_idx", "explode(items) AS item_idx").distinct()
+    want = factors.score_pairs(model.transform(pairs).selectExpr("user_idx AS user_id", "item_idx AS item_id", "cast(prediction AS double) AS score"), 4)
+    key = lambda df: {(r.user_id, r["rank"]): r.score for r in df.collect()}
+    for some in (sample, sample.limit(0)):
+        got = key(factors.score_candidates(model, lists, some, 4))
+        assert got.keys() == key(want).keys() and all(abs(got[at] - s) < 1e-6 for at, s in key(want).items())
