@@ -124,3 +124,10 @@ def test_scored_candidates_as_transform(spark):
     for some in (sample, sample.limit(0)):
         got = key(factors.score_candidates(model, lists, some, 4))
         assert got.keys() == key(want).keys() and all(abs(got[at] - s) < 1e-6 for at, s in key(want).items())
+
+
+def test_als_gives_shuffles_back(spark):
+    """Of 20 iterations no more than a few shuffles are left when the session has a checkpoint folder."""
+    ratings = spark.createDataFrame([(u, i, float((u * i) % 5 + 1) / 5) for u in range(20) for i in range(30) if (u + i) % 3], "user_idx int, item_idx int, confidence float")
+    params = factors.fit_als(ratings, 2, 2)._java_obj.parent().extractParamMap().toString()
+    assert "checkpointInterval: 2" in params
