@@ -192,3 +192,17 @@ def test_jsonl_limit_and_columns(spark):
         assert "x" in str(e)
     else:
         raise AssertionError
+
+
+def test_pairs_without_longer_sets(spark, monkeypatch):
+    """Pairs and rules of two items as FP-growth has them, without it."""
+    import random
+
+    r = random.Random(6)
+    b = spark.createDataFrame([(k, sorted(r.sample("abcdefghij", r.randint(3, 6)))) for k in range(300)], "key int, items array<string>")
+    want = {tuple(sorted(x["items"])): x.freq for x in baskets.frequent_itemsets(b, 0.1).where("size(items) = 2").collect()}
+    rules = {(x.antecedent, x.consequent): x.lift for x in baskets.one_to_one_rules(baskets.association_rules(b, 0.1)).collect()}
+    monkeypatch.setattr(baskets, "FPGrowth", None)
+    assert {tuple(x["items"]): x.freq for x in baskets.frequent_itemsets(b, 0.1, 2).collect()} == want and want
+    got = {(x.antecedent, x.consequent): x.lift for x in baskets.one_to_one_rules(baskets.association_rules(b, 0.1, longest=2)).collect()}
+    assert got.keys() == rules.keys() and all(abs(got[k] - v) < 1e-9 for k, v in rules.items()) and rules
