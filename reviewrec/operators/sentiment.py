@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .relational import head_text, top_k_per
+from .terms import WORDS, separate, totals, weights
 
 
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -18,14 +19,38 @@ def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     return words.select(key, F.explode(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("term"))
 
 
-def tfidf(df: DataFrame, key: str, text: str, max_features: int = 15_000) -> DataFrame:
-    """(key, term, weight): tf * (ln((1 + n) / (1 + df)) + 1) of the most frequent terms, L2-normalised in each document."""
-    tf = terms(df, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
+def _counts(shared: DataFrame, key: str, text: str) -> DataFrame:
+    return terms(shared, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def vocabulary(df: DataFrame, key: str, text: str, max_features: int, parts: tuple[DataFrame, DataFrame | None]) -> list:
+    """Rows (term, idf) of the most frequent words and word pairs, most frequent first: ln((1 + n) / (1 + df)) + 1. parts: df's rows by `separate`."""
+    alone, shared = parts
+    sums = totals(alone, text, WORDS, pairs=True)
+    if shared is not None:
+        sums = sums.unionByName(_counts(shared, key, text).select("term", F.col("tf").alias("total"), F.lit(1).cast("long").alias("df")))
+    top = sums.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
     n = df.agg(F.count("*").alias("n"))
-    weighted = tf.join(F.broadcast(vocabulary), "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    return top.crossJoin(F.broadcast(n)).orderBy(F.desc("total"), "term").select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")).collect()
+
+
+def tfidf(df: DataFrame, key: str, text: str, max_features: int = 15_000) -> DataFrame:
+    """(key, term, weight): tf * (ln((1 + n) / (1 + df)) + 1) of the most frequent terms, L2-normalised in each document.
+
+    A document is weighed where it lies; only terms of rows that share a key are grouped.
+    """
+    alone, shared = parts = separate(df, key)
+    found = vocabulary(df, key, text, max_features, parts)
+    names = df.sparkSession.createDataFrame([(k, r.term) for k, r in enumerate(found)], "idx int, term string")
+    rows = weights(alone, key, text, WORDS, True, {r.term: (k, r.idf) for k, r in enumerate(found)})
+    each = rows.select(key, F.explode(F.arrays_zip("places", "weights")).alias("e"))
+    out = each.join(F.broadcast(names), F.col("e.places") == F.col("idx")).select(key, "term", F.col("e.weights").alias("weight"))
+    if shared is None:
+        return out
+    known = df.sparkSession.createDataFrame([(r.term, r.idf) for r in found], "term string, idf double")
+    weighted = _counts(shared, key, text).join(F.broadcast(known), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    return out.unionByName(weighted.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight")))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from reviewrec.sources.scratch import Scratch
 
-from .sentiment import balanced_weights, terms
+from .sentiment import balanced_weights, terms, vocabulary
+from .terms import WORDS, separate, weights
 
 #: Steps that the optimiser remembers.
 MEMORY = 10
@@ -25,20 +26,21 @@ MEMORY = 10
 
 def fit_vocabulary(df: DataFrame, key: str, text: str, max_features: int = 15_000) -> DataFrame:
     """(term, idx, idf) of the most frequent words and word pairs, max_features rows at most, so the table can be broadcast."""
-    tf = terms(df, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    top = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
-    n = df.count()
-    rows = top.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")).collect()
+    rows = vocabulary(df, key, text, max_features, separate(df, key))
     return df.sparkSession.createDataFrame([(r.term, k, r.idf) for k, r in enumerate(rows)], "term string, idx int, idf double")
 
 
 def tfidf_rows(df: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
     """(key, places, weights): a document's terms by place, of unit length together. Documents without a known term have empty lists."""
-    tf = terms(df, key, text).join(F.broadcast(vocabulary), "term").groupBy(key, "idx").agg((F.count("*") * F.first("idf")).alias("w"))
+    alone, shared = separate(df, key)
+    own = weights(alone, key, text, WORDS, True, {r.term: (r.idx, r.idf) for r in vocabulary.collect()})
+    if shared is None:
+        return own
+    tf = terms(shared, key, text).join(F.broadcast(vocabulary), "term").groupBy(key, "idx").agg((F.count("*") * F.first("idf")).alias("w"))
     rows = tf.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("r"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     sparse = rows.select(key, F.transform("r", lambda x: x["idx"]).alias("places"), F.transform("r", lambda x: x["w"] / F.col("norm")).alias("weights"))
     none = [F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("places", "array<int>"), ("weights", "array<double>"))]
-    return df.select(key).distinct().join(sparse, key, "left").select(key, *none)
+    return own.unionByName(shared.select(key).distinct().join(sparse, key, "left").select(key, *none))
 
 
 def loss_and_slope(w: np.ndarray, start: np.ndarray, places: np.ndarray, values: np.ndarray, label: np.ndarray, cost: np.ndarray) -> tuple[float, np.ndarray]:
