@@ -25,17 +25,17 @@ MORE, PASSES = 10, 4
 
 def times(start: np.ndarray, places: np.ndarray, values: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Sparse rows times q, a column at a time."""
-    row, out = np.repeat(np.arange(len(start) - 1), np.diff(start)), np.zeros((len(start) - 1, q.shape[1]))
-    for c in range(q.shape[1]):
-        out[:, c] = np.bincount(row, values * q[places, c], len(out))
-    return out
+    row, out = np.repeat(np.arange(len(start) - 1), np.diff(start)), np.zeros((q.shape[1], len(start) - 1))
+    for c, column in enumerate(np.ascontiguousarray(q.T)):
+        out[c] = np.bincount(row, values * column[places], out.shape[1])
+    return out.T
 
 
 def twice(start: np.ndarray, places: np.ndarray, values: np.ndarray, q: np.ndarray) -> np.ndarray:
     """The rows' transpose times the rows times q."""
-    row, inner, out = np.repeat(np.arange(len(start) - 1), np.diff(start)), times(start, places, values, q), np.zeros_like(q)
+    row, inner, out = np.repeat(np.arange(len(start) - 1), np.diff(start)), times(start, places, values, q).T, np.zeros_like(q)
     for c in range(q.shape[1]):
-        out[:, c] = np.bincount(places, values * inner[row, c], len(q))
+        out[:, c] = np.bincount(places, values * inner[c][row], len(q))
     return out
 
 
